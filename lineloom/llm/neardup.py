@@ -174,13 +174,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
 
 def classes(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """``(fp, component_id)`` for every distinct fingerprint of ``fps(doc_id, fp)``."""
+    """``(fp, root, component_id)`` for every distinct fingerprint of ``fps(doc_id, fp)``.
+
+    ``root`` names the component, ``component_id`` is its smallest document.
+    """
     first = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(first.select("fp"), bits))
     linked = roots.join(first, roots["node"] == first["fp"]).select("node", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    linked = linked.join(least, "root").select(F.col("node").alias("fp"), "least")
-    return first.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    linked = linked.join(least, "root").select(F.col("node").alias("fp"), "root", "least")
+    return first.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"))
 
 
 def near_duplicates(documents: DataFrame, bits: int = BITS, width: int = SHINGLE) -> DataFrame:
@@ -189,6 +192,27 @@ def near_duplicates(documents: DataFrame, bits: int = BITS, width: int = SHINGLE
     return fps.join(classes(fps, bits), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(documents: DataFrame, bits: int = BITS, width: int = SHINGLE) -> DataFrame:
+    """``documents``, all columns, with one row of each component: the smallest id, then the smallest hash of the text.
+
+    The chosen rows are found by id and hash again, so texts move once.
+    """
+    schema, text_hash = documents.columns, F.xxhash64(F.coalesce("text", F.lit("")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            fps = np.array([fingerprint(t, width) for t in column(b, "text").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "__h"), pa.array(fps.view(np.int64))], ["doc_id", "h", "fp"])
+
+    keyed = documents.withColumn("__h", text_hash)
+    rows = checkpointed(keyed.select(F.col("doc_id").cast("long"), "text", "__h").mapInArrow(run, "doc_id long, h long, fp long"))
+    chosen = rows.join(classes(rows, bits), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__first"))
+    out = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["__id"]) & (keyed["__h"] == chosen["__first"]), "left_semi")
+    if not rows.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "__h"])
+    return out.select(*schema)
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the smallest id it is linked with."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
