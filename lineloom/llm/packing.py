@@ -11,6 +11,7 @@ A null or empty text is its end id alone.  Repeated ids and texts are packed row
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -26,21 +27,60 @@ from .common import column, slices
 WINDOW = 2048
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 200_000
+#: Words, as written and in small letters, whose ids a worker remembers.
+CACHE_WORDS = 150_000
+CACHE_PIECES = 300_000
+_MARKS = string.punctuation
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: printable ones as they are, the rest from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
+
+
+_LETTERS = byte_letters()
 
 
 class _Words(dict):
-    """Word to its ids as little-endian bytes, for a tokenizer that never joins words across white space."""
+    """Word to its ids as little-endian bytes, for a tokenizer that never joins words across white space.
+
+    The tokenizer folds case and parts letters from marks, so a word of Latin letters with marks after
+    it has the ids of its small letters and those of its marks.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.pieces: dict[str, bytes] = {}
+
+    def _encode(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            # One pre-token in its normal form: the model alone gives its ids.
+            letters = piece if piece.isascii() else "".join([_LETTERS[b] for b in piece.encode()])
+            got = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+            if len(piece) < 64:
+                if len(self.pieces) >= CACHE_PIECES:
+                    self.pieces.clear()
+                self.pieces[piece] = got
+        return got
 
     def __missing__(self, word: str) -> bytes:
-        got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        core = word.rstrip(_MARKS)
+        if core.isalpha() and (core.isascii() or max(core) <= "ÿ"):
+            got = self._piece(core.lower())
+            if len(core) < len(word):
+                got += self._piece(word[len(core) :])
+        else:
+            got = self._encode(word)
         if len(word) < 64:
             if len(self) >= CACHE_WORDS:
                 self.clear()
