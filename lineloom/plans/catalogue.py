@@ -1,8 +1,513 @@
-"""Queries of the engine's own operators and their SQL twins."""
+"""Queries of the engine's own operators, each with the SQL that DuckDB answers alike.
+
+Queries run over whole tables.  Those without SQL are folds whose next step depends on the last
+result; tests hold them against small cases.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import chords as C
+from ..functions import lines as L
+from ..functions import sections as S
+from ..functions import text as T
+from ..functions.text import at
+from ..functions.similarity import word_jaccard
+from ..operators import cleaner, folds, matching, scoring
+from ..operators import sequence as W
+from . import convert, inputs
+from .inputs import BOXES, CREDITS, LINES, SHEET, TOKENS, table
 
 QUERIES = {}
-SQL = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# SQL pieces -----------------------------------------------------------------------------------
+
+
+def n(x: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({x}, '{pattern}'))"
+
+
+def trim(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def key(x: str) -> str:
+    return f"regexp_replace(replace(translate(lower({x}), 'äöü', 'aou'), 'ß', 'ss'), '[^a-z0-9]+', '', 'g')"
+
+
+LETTERS, DIGITS, UPPERS = r"\p{L}", r"\p{Nd}", r"\p{Lu}"
+SYMBOLS, SYMBOLS_B = r"[^\p{L}\p{Nd}\s]", r"[^\p{L}\p{Nd}\s\[\]]"
+BRACKETED = C.BRACKETED
+TRIMMED = f"t AS (SELECT doc_id, line_no, {trim('line')} AS line FROM lines)"
+CONTENT = "(line <> '' AND NOT (line LIKE '{%' AND line LIKE '%}'))"
+COUNTS = f"c AS (SELECT doc_id, line_no, line, length(line) AS len, {n('line', LETTERS)} AS nl, {n('line', DIGITS)} AS nd, {n('line', UPPERS)} AS nu, {n('line', SYMBOLS)} AS ns, {n('line', SYMBOLS_B)} AS nsb, {CONTENT} AS content FROM t)"
+MARKS = r"[=~|&%$#@!;?\\\"''`<>(){}]"
+
+
+# documents ------------------------------------------------------------------------------------
+
+
+@query(f"WITH {LINES} SELECT doc_id, line_no, line FROM lines")
+def line_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.lines(spark, sf_dir)
+
+
+@query(f"WITH {LINES} SELECT doc_id, line_no, length(line) AS n_chars, {n('line', LETTERS)} AS n_letters, {n('line', DIGITS)} AS n_digits, {n('line', UPPERS)} AS n_upper, {n('line', SYMBOLS)} AS n_symbols, len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) AS n_tokens FROM lines")
+def line_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.line_profile(inputs.lines(spark, sf_dir))
+
+
+GARBAGE = f"""WITH {LINES}, {TRIMMED}, b AS (SELECT *, {trim(r"regexp_replace(line, '\[[^\]]+\]', '', 'g')")} AS bare FROM t),
+  g AS (SELECT *, {n('bare', LETTERS)} AS nl, {n('bare', MARKS)} AS nm FROM b)
+SELECT doc_id, line_no, CASE WHEN line = '' THEN false WHEN length(line) < 2 THEN true WHEN (line LIKE '{{%' AND line LIKE '%}}') OR regexp_matches(line, '{BRACKETED}') OR bare = '' THEN false
+  ELSE (nm > 0 AND nm > nl * 2 AND nl < 5) OR (length(bare) < 30 AND nm / greatest(length(bare), 1) > 0.5) END AS garbage FROM g"""
+
+
+@query(GARBAGE)
+def garbage_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.lines(spark, sf_dir).select("doc_id", "line_no", L.is_garbage(F.col("line")).alias("garbage"))
+
+
+@query(f"""WITH {LINES}, {TRIMMED}, {COUNTS}, f AS (SELECT *, {trim(r"regexp_replace(line, '\[[^\]]+\]', '', 'g')")} AS s FROM c),
+  w AS (SELECT *, regexp_extract_all(s, '\\p{{L}}+') AS ws, {n('s', r'\p{L}+|\d+|\S')} AS nt, {n('s', r'[^\p{L}\d\s]{2,}')} AS bursts FROM f),
+  q AS (SELECT *, len(list_filter(ws, lambda x: length(x) <= 2)) AS tiny, len(list_filter(ws, lambda x: regexp_matches(x, '^\\p{{Lu}}$'))) AS single FROM w)
+SELECT doc_id,
+  count(*) FILTER (WHERE content AND (nl / greatest(len, 1) < 0.45 OR (nd >= 2 AND nd > nl // 3) OR nsb >= 5 OR (nl < 8 AND len > 10))) AS n_gibberish,
+  count(*) FILTER (WHERE content AND nt >= 5 AND len(ws) >= 4 AND ((tiny >= 4 AND tiny >= ceil(len(ws) * 0.35)) OR single >= 2 OR bursts >= 2)) AS n_fragmented,
+  count(*) FILTER (WHERE regexp_matches(line, '^\\s*(?:\\[[^\\]]+\\])?\\s*(?:\\d+|[lI])\\s*[.)]')) AS n_numbered
+FROM q GROUP BY doc_id""")
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.line_counts(table(spark, sf_dir, "documents"))
+
+
+QUALITY = f"""WITH {LINES}, {TRIMMED}, {COUNTS}, q AS (SELECT doc_id, sum(nl) AS letters, sum({n('line', r'\[[^\]]+\]')}) AS chords, sum({n('line', r'[_|~^�]')}) AS weird,
+  count(*) FILTER (WHERE content) AS content_lines, count(*) FILTER (WHERE content AND nd > nl) AS digit_lines, count(*) FILTER (WHERE content AND len <= 4) AS short,
+  count(*) FILTER (WHERE content AND (nl / greatest(len, 1) < 0.35 OR nsb >= 8 OR (nd >= 3 AND nd > nl) OR (nu >= 8 AND nu > nl * 0.65))) AS gibberish_lines,
+  arg_min(nd > 0 OR nu > greatest(4.0, nl * 0.7) OR ns >= 4, line_no) FILTER (WHERE content) AS suspicious FROM c GROUP BY doc_id)
+SELECT doc_id, content_lines, gibberish_lines, CASE WHEN content_lines > 0 THEN CAST(letters + chords * 18.0 + content_lines * 3.0 - weird * 6.0 - digit_lines * 10.0 - short * 4.0 - gibberish_lines * 35.0
+  - CASE WHEN suspicious THEN 60.0 ELSE 0.0 END - 40.0 AS DOUBLE) END AS score FROM q"""
+
+
+@query(QUALITY)
+def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.quality_score(table(spark, sf_dir, "documents"))
+
+
+@query(f"""SELECT doc_id, round({n('text', LETTERS)} + 0.25 * {n('text', DIGITS)} + 1.2 * {n('text', ' ')} + 2.0 * {n('text', chr(10))}
+  + 20.0 * len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: regexp_matches(x, '^[A-H][#b]?(?:m|maj|sus|dim|aug)?[245679]?$'))) + 8.0 * {n('text', '[äöüÄÖÜß]')} + 3.0 * {n('text', r'\p{L}{4,}')}
+  - 3.0 * {n('text', r"[^\p{L}\p{Nd}\s.,;:!?''\"()\[\]#/&-]")} - 1.5 * len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: length(x) = 1)), 4) AS score FROM documents""")
+def text_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(scoring.text_score(F.col("text")), 4).alias("score"))
+
+
+NOTATION = rf"""WITH {LINES}, {TRIMMED}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM t WHERE {CONTENT}),
+  s AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS s FROM f WHERE k <= 80 GROUP BY doc_id),
+  p AS (SELECT doc_id, s, list_transform(list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '')[1:600], lambda x: regexp_replace(x, '^[\[\](){{}},.;:"''`]+|[\[\](){{}},.;:"''`]+$', '', 'g')) AS toks FROM s),
+  r AS (SELECT doc_id, {n('s', LETTERS)} / {n('s', r'\S')} AS letter_ratio, {n('s', r"[^\p{L}\p{Nd}\s\[\](){}:;,.!?\"''`+\-*/#&%|=°♭♯]")} / {n('s', r'\S')} AS weird_ratio, {n('s', '[=_|—–]')} / {n('s', r'\S')} AS score_ratio,
+    len(list_filter(toks, lambda x: x = '' OR regexp_matches(x, '[=_¥]') OR NOT regexp_matches(x, '[\p{{L}}\p{{Nd}}]') OR (length(x) - {n('x', r'[\p{L}\p{Nd}]')} >= 2 AND length(x) - {n('x', r'[\p{L}\p{Nd}]')} >= length(x) // 2)
+      OR (length(x) <= 2 AND lower(x) NOT IN ('a','an','am','im','in','to','of','my','we','me','du','ich','der','die','das','und','ist','ein','eine')))) / greatest(len(toks), 1) AS junk_ratio,
+    regexp_matches(s, '[=_]{{3,}}|[-–—]{{6,}}|\|{{4,}}|\\{{3,}}|/{{3,}}|\*{{4,}}') AS runs FROM p)
+SELECT *, weird_ratio > 0.45 OR (score_ratio > 0.15 AND (letter_ratio < 0.70 OR weird_ratio > 0.15)) OR (junk_ratio > 0.35 AND (runs OR score_ratio > 0.10 OR weird_ratio > 0.25)) OR (runs AND (letter_ratio < 0.55 OR weird_ratio > 0.25)) AS notation FROM r"""
+
+
+@query(NOTATION)
+def notation_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.notation_ratios(table(spark, sf_dir, "documents"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, CAST(doc_id % 40 AS INTEGER)) ELSE text END AS text FROM documents),
+  lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, 0 AS line_no FROM d), {TRIMMED}
+SELECT doc_id, count(*) FILTER (WHERE {CONTENT}) = 0 OR coalesce(sum(length(line)) FILTER (WHERE {CONTENT}), 0) < 20 OR coalesce(sum(length(line)) FILTER (WHERE {CONTENT}), 0) / greatest(count(*) FILTER (WHERE {CONTENT}), 1) < 3.0 AS empty FROM t GROUP BY doc_id""")
+def effectively_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 3 == 0, F.substring(F.col("text"), F.lit(1), (F.col("doc_id") % 40).cast("int"))).otherwise(F.col("text"))
+    return scoring.is_effectively_empty(d.select("doc_id", text.alias("text")))
+
+
+@query(f"SELECT doc_id, {key('text')} AS key FROM documents")
+def phrase_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.phrase_key(F.col("text")).alias("key"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), ' ([,.;:!?])', '\1', 'g')) AS text FROM documents")
+def whitespace_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.normal_space(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, translate(text, '{T.MARKED}', '{T.PLAIN}') AS text FROM documents")
+def accent_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.strip_accents(F.col("text")).alias("text"))
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '([{}\[\]])', '\\\1', 'g') AS text FROM (SELECT doc_id, '{' || replace(text, ' th', ' [th') || '}' AS text FROM documents)")
+def mark_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.escape_marks(F.concat(F.lit("{"), F.replace("text", F.lit(" th"), F.lit(" [th")), F.lit("}"))).alias("text"))
+
+
+@query(r"SELECT c_custkey AS doc_id, regexp_replace(c_mktsegment || ' - ' || c_name, '(\p{L})\s*[-–—]\s*(\p{L})', '\1\2', 'g') AS text FROM customer")
+def hyphen_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), T.join_hyphens(F.concat("c_mktsegment", F.lit(" - "), "c_name")).alias("text"))
+
+
+@query()
+def artifact_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaner.repair_artefacts(inputs.lines(spark, sf_dir))
+
+
+@query(f"""WITH {LINES}, {TRIMMED}, p AS (SELECT doc_id, line_no, line, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS previous FROM t WHERE {CONTENT}),
+  k AS (SELECT doc_id, line_no, previous, regexp_replace({key(r"regexp_replace(line, '\[[^\]]+\]', '', 'g')")}, '', '') AS a, {key(r"regexp_replace(previous, '\[[^\]]+\]', '', 'g')")} AS b FROM p WHERE previous IS NOT NULL)
+SELECT doc_id, line_no FROM k WHERE a = b OR (length(a) >= 8 AND length(b) >= 8 AND (contains(a, b) OR contains(b, a) OR 1.0 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.74))""")
+def adjacent_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.near_repeats(inputs.lines(spark, sf_dir)).select("doc_id", "line_no")
+
+
+POOR = rf"""(regexp_matches(regexp_extract(line, '(\p{{L}})', 1), '^\p{{Ll}}$') AND len(toks) >= 3 AND NOT contains(line, '['))
+  OR {n('line', LETTERS)} / greatest(length(line), 1) < 0.45 OR {n('line', DIGITS)} >= 2 OR {n('line', SYMBOLS)} >= 4 OR (len(toks) >= 4 AND len(list_filter(toks, lambda x: length(x) <= 2)) >= len(toks) * 0.6)"""
+
+
+@query(rf"""WITH {LINES}, d AS (SELECT doc_id, line_no, CASE WHEN line_no = 3 AND doc_id % 2 = 0 THEN '{{comment: Vers 1}}' ELSE line END AS line FROM lines),
+  k AS (SELECT doc_id, line_no, line, list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '') AS toks FROM d),
+  m AS (SELECT *, min(line_no) FILTER (WHERE line = '{{comment: Vers 1}}') OVER (PARTITION BY doc_id) AS f, ({trim('line')} <> '' AND NOT (line LIKE '{{%' AND line LIKE '%}}')) AS content, {POOR} AS poor FROM k),
+  l AS (SELECT *, coalesce(line_no < f AND content, false) AS lead FROM m),
+  s AS (SELECT *, count(*) FILTER (WHERE lead) OVER (PARTITION BY doc_id) AS nlead, count(*) FILTER (WHERE lead AND poor) OVER (PARTITION BY doc_id) AS npoor FROM l)
+SELECT doc_id, line_no, line FROM s WHERE NOT (lead AND nlead BETWEEN 2 AND 8 AND npoor * 2 >= nlead)""")
+def lead_in_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = inputs.lines(spark, sf_dir).withColumn("line", F.when((F.col("line_no") == 3) & (F.col("doc_id") % 2 == 0), "{comment: Vers 1}").otherwise(F.col("line")))
+    return W.trim_lead_in(d)
+
+
+@query(f"""WITH {LINES}, k AS (SELECT doc_id, max(CASE WHEN line_no = 0 THEN line END) AS a, max(CASE WHEN line_no = 1 THEN line END) AS b FROM lines GROUP BY doc_id),
+  w AS (SELECT doc_id, list_distinct(list_filter(string_split(regexp_replace(lower(translate(coalesce(a, ''), '{T.MARKED}', '{T.PLAIN}')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3)) AS x,
+    list_distinct(list_filter(string_split(regexp_replace(lower(translate(coalesce(b, ''), '{T.MARKED}', '{T.PLAIN}')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3)) AS y FROM k)
+SELECT doc_id, round(CASE WHEN len(list_distinct(list_concat(x, y))) = 0 THEN 0.0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6) AS jaccard FROM w""")
+def title_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda i: F.max(F.when(F.col("line_no") == i, F.col("line")))
+    rows = inputs.lines(spark, sf_dir).groupBy("doc_id").agg(pick(0).alias("a"), pick(1).alias("b"))
+    return rows.select("doc_id", F.round(word_jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+
+
+@query(f"""WITH {LINES}, k AS (SELECT doc_id, line_no, doc_id // 2 AS pair, {key(r"regexp_replace(line, '\[[^\]]+\]', '', 'g')")} AS key FROM lines),
+  p AS (SELECT a.doc_id, a.line_no, b.line_no AS donor_no, CASE WHEN a.key = b.key THEN 1.0 WHEN a.key = '' OR b.key = '' THEN 0.0 WHEN contains(a.key, b.key) OR contains(b.key, a.key) THEN 0.9 ELSE 1.0 - levenshtein(a.key, b.key) / greatest(length(a.key), length(b.key)) END AS similarity
+    FROM k a JOIN k b ON a.pair = b.pair AND a.doc_id % 2 = 0 AND b.doc_id % 2 = 1)
+SELECT doc_id, line_no, donor_no, similarity FROM p WHERE similarity >= 0.32 QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY similarity DESC, donor_no) = 1""")
+def fuzzy_best_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inputs.lines(spark, sf_dir).withColumn("pair", F.expr("doc_id div 2"))
+    return matching.best_lines(rows.filter("doc_id % 2 = 0"), rows.filter("doc_id % 2 = 1"), "pair")
+
+
+@query(rf"""WITH {LINES}, k AS (SELECT doc_id, line_no, line, lower(trim(regexp_replace(regexp_replace(line, '\s+', ' ', 'g'), ' ([,.;:!?])', '\1', 'g'))) AS key FROM lines)
+SELECT doc_id, line_no, line FROM k WHERE NOT EXISTS (SELECT 1 FROM k h WHERE h.doc_id = k.doc_id AND h.line_no = 1 AND h.key = k.key AND h.key <> '')""")
+def header_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inputs.lines(spark, sf_dir)
+    return matching.drop_header_lines(rows, rows.filter("line_no = 1").select("doc_id", F.col("line").alias("value")))
+
+
+@query("""WITH l AS (SELECT conv_id AS doc_id, turn AS line_no, role AS line, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations),
+  r AS (SELECT conv_id AS doc_id, turn AS ref_no, role AS line, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations WHERE turn >= 2)
+SELECT l.doc_id, l.line_no, l.line, r.ref_no FROM l LEFT JOIN r USING (doc_id, line, k)""")
+def reference_match_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("line_no"), F.col("role").alias("line"))
+    return matching.match_by_occurrence(rows, rows.filter("line_no >= 2"))
+
+
+@query(f"""WITH a AS (SELECT p_partkey AS id, p_brand || p_size || p_type AS block, regexp_replace({key('p_name')}, '\\d+$', '') AS k FROM part),
+  p AS (SELECT a.id, b.id AS other, CASE WHEN a.k = b.k THEN 1.0 ELSE 1.0 - levenshtein(a.k, b.k) / greatest(length(a.k), length(b.k)) END + CASE WHEN contains(a.k, b.k) OR contains(b.k, a.k) THEN 0.15 ELSE 0.0 END AS score
+    FROM a JOIN a b ON a.block = b.block AND a.id % 2 = 0 AND b.id % 2 = 1)
+SELECT id, other, round(score, 6) AS score FROM p WHERE score > 0.72 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, other) = 1""")
+def companion_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat("p_brand", F.col("p_size").cast("string"), "p_type").alias("block"))
+    return matching.companions(p.filter("id % 2 = 0"), p.filter("id % 2 = 1"), "block").withColumn("score", F.round("score", 6))
+
+
+# line streams ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {SHEET}, s AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS p FROM sheet) SELECT doc_id, line_no, line FROM s WHERE NOT (line = '' AND coalesce(p = '', false))")
+def collapse_blank_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.collapse_blanks(inputs.sheet(spark, sf_dir).select("doc_id", "line_no", "line"))
+
+
+@query(f"WITH {SHEET}, s AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS p FROM sheet) SELECT doc_id, line_no, line FROM s WHERE NOT (line LIKE '{{%}}' AND coalesce(line = p, false))")
+def drop_repeat_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.drop_repeated_comments(inputs.sheet(spark, sf_dir).select("doc_id", "line_no", "line"))
+
+
+@query(f"""WITH {SHEET}, a AS (SELECT *, last_value(CASE WHEN line <> '' THEN is_chord END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM sheet),
+  b AS (SELECT * FROM a WHERE NOT (line = '' AND coalesce(last, false))), c AS (SELECT *, is_chord AND coalesce(lag(is_chord) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS joins FROM b),
+  r AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM c)
+SELECT doc_id, min(line_no) AS line_no, string_agg(line, ' ' ORDER BY line_no) AS line FROM r GROUP BY doc_id, run""")
+def run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.merge_chord_rows(inputs.sheet(spark, sf_dir))
+
+
+LOOK = "first_value(CASE WHEN {} THEN line_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+
+
+@query(f"""WITH {SHEET}, s AS (SELECT *, {LOOK.format("line LIKE '{comment:%'")} AS nc, {LOOK.format("line <> '' AND NOT line LIKE '{%}'")} AS nl FROM sheet)
+SELECT doc_id, line_no, line FROM s WHERE NOT (line LIKE '{{comment:%' AND (nl IS NULL OR coalesce(nc < nl, false)))""")
+def lookahead_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.drop_empty_comments(inputs.sheet(spark, sf_dir).select("doc_id", "line_no", "line"))
+
+
+@query(f"""WITH {SHEET}, a AS (SELECT *, line = '' AS blank, line <> '' AND NOT is_label AS body FROM sheet),
+  b AS (SELECT *, coalesce(sum(body::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bodies FROM a),
+  c AS (SELECT *, max(blank::INT) OVER (PARTITION BY doc_id, bodies) = 1 AS brk, last_value(explicit IGNORE NULLS) OVER (PARTITION BY doc_id, bodies ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ex FROM b),
+  d AS (SELECT *, count(ex) OVER w AS seg, last_value(ex IGNORE NULLS) OVER w AS label FROM c WHERE body WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  e AS (SELECT *, min(CASE WHEN ex IS NULL AND (seg = 0 OR (label IN ('chorus', 'bridge') AND brk)) THEN line_no END) OVER (PARTITION BY doc_id, seg) AS opn FROM d),
+  f AS (SELECT *, coalesce(opn = line_no, false) AS opens FROM e), g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS verse FROM f)
+SELECT doc_id, line_no, opens, CASE WHEN opn IS NOT NULL AND line_no >= opn THEN 'verse ' || CAST(verse AS BIGINT) ELSE label END AS section FROM g""")
+def section_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.assign_sections(inputs.sheet(spark, sf_dir)).select("doc_id", "line_no", "opens", "section")
+
+
+@query(f"""WITH {SHEET}, a AS (SELECT *, lead(line) OVER w AS l1, lead(line_no) OVER w AS n1, lead(is_label) OVER w AS b1, lead(is_chord) OVER w AS c1, lead(line, 2) OVER w AS l2, lead(line_no, 2) OVER w AS n2, lead(is_chord, 2) OVER w AS c2
+  FROM sheet WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)), o AS (SELECT *, CASE WHEN b1 THEN l2 ELSE l1 END AS l, CASE WHEN b1 THEN n2 ELSE n1 END AS n, CASE WHEN b1 THEN c2 ELSE c1 END AS c FROM a WHERE is_chord)
+SELECT doc_id, line_no, line AS chords, CASE WHEN NOT c THEN l END AS lyric, CASE WHEN NOT c THEN n END AS lyric_no FROM o""")
+def chord_pair_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.pair_chords(inputs.sheet(spark, sf_dir))
+
+
+@query(f"WITH {SHEET} SELECT doc_id, split_part(arg_min(line, line_no), ' ', 1) AS key FROM sheet WHERE is_chord GROUP BY doc_id")
+def key_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.key_of(inputs.sheet(spark, sf_dir))
+
+
+@query()
+def cleaner_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def text_to_cho(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.text_to_cho(inputs.sheet(spark, sf_dir).select("doc_id", "line_no", "line"))
+
+
+@query()
+def repeated_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.drop_repeated_structure(inputs.sheet(spark, sf_dir))
+
+
+@query()
+def near_repeat_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.collapse_near_repeats(inputs.lines(spark, sf_dir))
+
+
+@query()
+def fragment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.join_fragments(inputs.lines(spark, sf_dir))
+
+
+@query()
+def chord_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inputs.sheet(spark, sf_dir)
+    donor = rows.withColumn("line", F.when(~F.col("is_chord") & ~F.col("is_label") & (F.col("line") != "") & ~F.col("line").startswith("{"), F.concat(F.lit("[C]"), F.col("line"))).otherwise(F.col("line")))
+    return folds.transfer_chords(rows, donor)
+
+
+# chords ---------------------------------------------------------------------------------------
+
+CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(token, '[^A-Za-z0-9#b/]+', '', 'g'), '(?i)^([A-H])l([A-Z])', '\1\2'), '(?i)^([A-H])i?m$', '\1m'), '(?i)^([A-H])(?:ma|mqj|maij|mai)7$', '\1maj7'), '(?i)^([A-H])i([0-9]+)$', '\1\2')"""
+CLEANED = f"""c AS (SELECT *, CASE WHEN regexp_matches(k, '^[a-h]$') THEN upper(k) || 'm' WHEN regexp_matches(k, '^[A-H]$') THEN k ELSE regexp_replace(upper(substr(k, 1, 1)) || substr(k, 2), '^([A-H])[hH]', '\\1') END AS clean FROM (SELECT *, {CLEAN} AS k FROM tokens))"""
+
+
+@query(f"WITH {TOKENS}, {CLEANED} SELECT doc_id, pos, part, clean FROM c")
+def chord_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.tokens(spark, sf_dir).select("doc_id", "pos", "part", C.clean(F.col("token")).alias("clean"))
+
+
+@query(f"WITH {TOKENS} SELECT doc_id, pos, part, regexp_matches(token, '(?i)^{C.GRAMMAR['basic']}$') AS chord, regexp_matches('[' || token || ']', '^{BRACKETED}$') AS bracketed FROM tokens")
+def chord_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = inputs.tokens(spark, sf_dir)
+    return t.select("doc_id", "pos", "part", C.is_chord(F.col("token")).alias("chord"), C.is_valid_bracket(F.concat(F.lit("["), "token", F.lit("]"))).alias("bracketed"))
+
+
+@query(rf"""WITH {TOKENS} SELECT doc_id, pos, part, CASE WHEN chord LIKE 'Bb%' THEN 'B' || substr(chord, 3) WHEN chord LIKE 'B%' THEN 'H' || substr(chord, 2) WHEN chord LIKE '%/Bb%' THEN replace(chord, '/Bb', '/B') ELSE replace(chord, '/B', '/H') END AS german,
+  nullif(regexp_extract(chord, '^([A-H](?:#|b|is|es)?)', 1), '') AS root, lower(chord) LIKE '%m' AS minor FROM tokens""")
+def german_notation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.tokens(spark, sf_dir).select("doc_id", "pos", "part", C.german(F.col("chord")).alias("german"), C.root(F.col("chord")).alias("root"), C.is_minor(F.col("chord")).alias("minor"))
+
+
+@query(f"WITH {TOKENS}, v AS (SELECT doc_id, count(*) FILTER (WHERE chord LIKE 'H%') AS n_h, count(*) FILTER (WHERE chord LIKE 'B%') AS n_b FROM tokens GROUP BY doc_id) SELECT *, n_h >= 2 AND n_h > n_b AS german FROM v")
+def german_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.german_vote(inputs.tokens(spark, sf_dir))
+
+
+def _sequences(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    rows = inputs.tokens(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "part", F.col(column).alias("x")))).alias("a"))
+    return rows.select("doc_id", F.transform("a", lambda x: x["x"]).alias("chords"))
+
+
+ORDERED = "s AS (SELECT doc_id, list(chord ORDER BY pos, part, chord) AS chords FROM tokens GROUP BY doc_id)"
+
+
+@query(rf"""WITH {TOKENS}, {ORDERED}, d AS (SELECT doc_id, chords, list_filter(string_split(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM s JOIN documents USING (doc_id)),
+  p AS (SELECT doc_id, words, list_transform(generate_series(1, len(chords)), lambda i: '[' || chords[i] || ']') AS marks, list_transform(generate_series(1, len(chords)), lambda i: CASE WHEN len(chords) > 1 THEN CAST(round_even(CAST((i - 1) * (len(words) - 1) / (len(chords) - 1) AS DOUBLE), 0) AS INTEGER) ELSE 0 END) AS ats FROM d)
+SELECT doc_id, list_aggregate(list_transform(generate_series(1, len(words)), lambda j: coalesce(list_aggregate(list_transform(list_filter(generate_series(1, len(marks)), lambda i: ats[i] = j - 1), lambda i: marks[i]), 'string_agg', ''), '') || words[j]), 'string_agg', ' ') AS line FROM p""")
+def even_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", T.tokens(at(F.split("text", "\n"), 1)).alias("words"))
+    return _sequences(spark, sf_dir, "chord").join(d, "doc_id").select("doc_id", C.insert_evenly(F.col("chords"), F.col("words")).alias("line"))
+
+
+@query(f"WITH {TOKENS}, {ORDERED} SELECT doc_id, '{{title: Order ' || doc_id || '}}' || chr(10) || '{{key: ' || chords[1] || '}}' || chr(10) || list_aggregate(list_transform(chords, lambda x: '[' || x || ']'), 'string_agg', ' ') AS cho FROM s")
+def cho_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _sequences(spark, sf_dir, "chord")
+    head = S.header({"title": F.concat(F.lit("Order "), F.col("doc_id").cast("string")), "key": at("chords", 1)})
+    return s.select("doc_id", F.concat_ws("\n", head, C.render(F.col("chords"))).alias("cho"))
+
+
+@query()
+def chord_sequence_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sequences(spark, sf_dir, "chord").select("doc_id", F.array_join(C.carry_minor(F.col("chords")), " ").alias("chords"))
+
+
+@query()
+def split_token_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sequences(spark, sf_dir, "token").select("doc_id", F.array_join(C.merge_split(F.col("chords")), " ").alias("tokens"))
+
+
+@query()
+def chord_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit("\t"), F.array_join("chords", "\t"))
+    s = _sequences(spark, sf_dir, "chord").withColumn("placed", C.positions(line))
+    return s.select("doc_id", C.insert_at(F.lit("la le li lo lu la le li lo lu"), F.col("placed")).alias("line"))
+
+
+@query(rf"""WITH {CREDITS}, k AS (SELECT doc_id, line, lower({trim("regexp_extract(line, '^([^:]{2,30}):', 1)")}) AS k, {trim("regexp_extract(line, '^[^:]*:(.*)$', 1)")} AS v FROM credits),
+  m AS (SELECT *, CASE k WHEN 'text' THEN 'lyricist' WHEN 'melodie' THEN 'composer' WHEN 'rechte' THEN 'rights' WHEN 'urheber' THEN 'copyright' WHEN 'autor' THEN 'author' WHEN 'title' THEN 'title' END AS name FROM k)
+SELECT doc_id, CASE WHEN v <> '' THEN name END AS key, CASE WHEN name IS NOT NULL AND v <> '' THEN v END AS value, CASE WHEN line LIKE '© %' THEN substr(line, 3) END AS copyright FROM m""")
+def metadata_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = inputs.credits(spark, sf_dir)
+    h = S.header_line(F.col("line"))
+    rights = at(F.filter(S.metadata(F.col("line")), lambda x: x["key"] == "copyright"), 1)["value"]
+    return c.select("doc_id", h["key"].alias("key"), h["value"].alias("value"), rights.alias("copyright"))
+
+
+# layout ---------------------------------------------------------------------------------------
+
+UNIQUE = "u AS (SELECT * FROM boxes)"
+
+
+@query(f"""WITH {BOXES}, l AS (SELECT * FROM boxes WHERE NOT is_chord), p AS (SELECT l.doc_id, l.line_no, c.line_no AS chord_no, l.top - c.bottom AS gap FROM l JOIN boxes c ON c.is_chord AND c.doc_id = l.doc_id AND c.bottom <= l.top AND l.top - c.bottom <= 180 AND c."left" - 20 <= l."right" AND c."right" + 20 >= l."left"),
+  b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY gap, chord_no) = 1)
+SELECT l.doc_id, l.line_no, b.chord_no, b.gap FROM l LEFT JOIN b USING (doc_id, line_no)""")
+def nearest_chord_above(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = inputs.boxes(spark, sf_dir)
+    lyrics = b.filter(~F.col("is_chord")).select("doc_id", "page_no", "line_no", "left", "top", "right", "bottom")
+    return matching.nearest_above(lyrics, b.filter("is_chord")).select("doc_id", "line_no", "chord_no", "gap")
+
+
+@query(f"""WITH {BOXES} SELECT doc_id, min("left") AS "left", min(top) AS top, max("right") AS "right", max(bottom) AS bottom, round(avg(bottom - top), 6) AS mean_height, count(*) AS n_words FROM boxes GROUP BY doc_id""")
+def box_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.box_union(inputs.boxes(spark, sf_dir), "doc_id").withColumn("mean_height", F.round("mean_height", 6))
+
+
+@query(f"""WITH {BOXES}, p AS (SELECT a.doc_id, a.line_no AS a, b.line_no AS b, greatest(least(a."right", b."right") - greatest(a."left", b."left"), 0) AS w, greatest(least(a.bottom, b.bottom) - greatest(a.top, b.top), 0) AS h,
+  (a."right" - a."left") * (a.bottom - a.top) AS x, (b."right" - b."left") * (b.bottom - b.top) AS y FROM boxes a JOIN boxes b ON a.doc_id = b.doc_id AND a.line_no < b.line_no)
+SELECT doc_id, a, b, round(w * h / (x + y - w * h), 6) AS iou FROM p WHERE w > 0 AND h > 0 AND w * h / (x + y - w * h) >= 0.1""")
+def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = inputs.boxes(spark, sf_dir).withColumnRenamed("line_no", "region_no")
+    return matching.overlapping(b, least=0.1).select("doc_id", "a", "b", F.round("iou", 6).alias("iou"))
+
+
+@query(f"""WITH {BOXES}, w AS (SELECT doc_id, line_no // 10 AS line_no, line_no AS word_no, "left", top, "right", bottom FROM boxes),
+  g AS (SELECT *, "left" - lag("right") OVER (PARTITION BY doc_id, line_no ORDER BY "left", word_no) AS gap, avg("right" - "left") OVER (PARTITION BY doc_id, line_no) AS mw, max(bottom) OVER (PARTITION BY doc_id, line_no) - min(top) OVER (PARTITION BY doc_id, line_no) AS h FROM w)
+SELECT doc_id, line_no, word_no, CAST(sum(coalesce(gap >= greatest(60.0, mw * 2.8, h * 0.05 * 3.5), false)::INT) OVER (PARTITION BY doc_id, line_no ORDER BY "left", word_no) AS BIGINT) AS segment FROM g""")
+def split_wide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = inputs.boxes(spark, sf_dir)
+    w = b.select("doc_id", "page_no", F.expr("cast(line_no div 10 as int)").alias("line_no"), F.col("line_no").alias("word_no"), "left", (F.col("top") * 0.05).alias("top"), "right", (F.col("bottom") * 0.05).alias("bottom"))
+    return scoring.split_wide_lines(w).select("doc_id", "line_no", "word_no", "segment")
+
+
+ROWS = "r AS (SELECT DISTINCT l_orderkey // 8 AS doc_id, CAST((l_linenumber * 12 + l_partkey % 3) AS INTEGER) AS y FROM lineitem)"
+BANDS = f"""{ROWS}, a AS (SELECT *, coalesce(y - lag(y) OVER (PARTITION BY doc_id ORDER BY y) > 6, true) AS new FROM r), b AS (SELECT *, CAST(sum(new::INT) OVER (PARTITION BY doc_id ORDER BY y) AS BIGINT) AS band FROM a),
+  bands AS (SELECT doc_id, band, min(y) AS top, max(y) AS bottom, (min(y) + max(y)) / 2 AS centre FROM b GROUP BY doc_id, band)"""
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 8").alias("doc_id"), (F.col("l_linenumber") * 12 + F.col("l_partkey") % 3).cast("int").alias("y")).distinct()
+
+
+@query(f"WITH {BANDS} SELECT * FROM bands")
+def row_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.row_bands(_rows(spark, sf_dir))
+
+
+@query(f"""WITH {BANDS}, s AS (SELECT *, lead(centre, 1) OVER w AS c1, lead(centre, 2) OVER w AS c2, lead(centre, 3) OVER w AS c3, lead(centre, 4) OVER w AS c4 FROM bands WINDOW w AS (PARTITION BY doc_id ORDER BY centre)), m AS (SELECT *, (c4 - centre) / 4 AS spacing FROM s WHERE c4 IS NOT NULL)
+SELECT doc_id, band, centre, spacing FROM m WHERE abs(c1 - centre - spacing) <= spacing * 0.45 AND abs(c2 - c1 - spacing) <= spacing * 0.45 AND abs(c3 - c2 - spacing) <= spacing * 0.45 AND abs(c4 - c3 - spacing) <= spacing * 0.45 AND spacing BETWEEN 6 AND 24""")
+def staff_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.staff_systems(W.row_bands(_rows(spark, sf_dir)), F.lit(1000.0))
+
+
+@query("""WITH h AS (SELECT event_type, CAST(least(255, floor(value * 4)) AS INTEGER) AS bin, count(*) AS n FROM events GROUP BY ALL), c AS (SELECT *, sum(n) OVER w AS b, sum(bin * n) OVER w AS s, sum(n) OVER p AS t, sum(bin * n) OVER p AS u FROM h WINDOW w AS (PARTITION BY event_type ORDER BY bin), p AS (PARTITION BY event_type)),
+  v AS (SELECT *, CASE WHEN t > b THEN CAST(b * (t - b) AS DOUBLE) * pow(s / b - (u - s) / (t - b), 2) ELSE 0 END AS v FROM c)
+SELECT event_type, CASE WHEN max(v) > 0 THEN arg_max(bin, (v, -bin)) ELSE 128 END AS threshold FROM v GROUP BY event_type""")
+def otsu_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = table(spark, sf_dir, "events").groupBy("event_type", F.least(F.lit(255), F.floor(F.col("value") * 4)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return W.otsu(h, key="event_type")
+
+
+@query()
+def line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = inputs.boxes(spark, sf_dir).select("doc_id", "page_no", F.col("line_no").alias("word_no"), "left", "bottom")
+    return folds.cluster_lines(w, tolerance=12.0)
+
+
+@query()
+def region_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.bucket_regions(inputs.boxes(spark, sf_dir).withColumnRenamed("line_no", "region_no"))
+
+
+@query()
+def region_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = inputs.boxes(spark, sf_dir)
+    r = b.select("doc_id", "page_no", F.expr("cast(line_no div 10 as int)").alias("line_no"), F.col("line_no").alias("region_no"), "left", "right", "top", "bottom", F.when(F.col("is_chord"), "word").otherwise("Word").alias("text"))
+    return folds.merge_regions(r, gap=2.0)
+
+
+@query()
+def region_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = inputs.boxes(spark, sf_dir).withColumnRenamed("line_no", "region_no").withColumn("text", F.when(F.col("is_chord"), "la").otherwise("la la")).withColumn("score", F.col("word_no") / 10)
+    return folds.drop_duplicate_regions(r, 0.2)
+
+
+# choice and status ----------------------------------------------------------------------------
+
+
+@query(f"""WITH s AS (SELECT doc_id, 'plain-ocr' AS source, CAST(n_chars % 97 AS DOUBLE) AS score FROM documents UNION ALL SELECT doc_id, 'layout-ocr', CAST(doc_id % 89 AS DOUBLE) FROM documents),
+  b AS (SELECT doc_id, max(score) AS best, arg_max(source, (score, CASE WHEN source = 'layout-ocr' THEN 1 ELSE 0 END)) AS src, max(score) FILTER (WHERE source = 'layout-ocr') AS own FROM s GROUP BY doc_id)
+SELECT doc_id, CASE WHEN NOT (own < 40 AND best >= own + 55) THEN 'layout-ocr' ELSE src END AS source, CASE WHEN NOT (own < 40 AND best >= own + 55) THEN own ELSE best END AS score FROM b""")
+def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    plain = d.select("doc_id", F.lit("plain-ocr").alias("source"), (F.col("n_chars") % 97).cast("double").alias("score"))
+    layout = d.select("doc_id", F.lit("layout-ocr").alias("source"), (F.col("doc_id") % 89).cast("double").alias("score"))
+    return scoring.best_candidate(plain.unionByName(layout), "layout-ocr")
+
+
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'noten_' || doc_id ELSE 'song_' || doc_id END AS name, n_chars FROM documents)
+SELECT CASE WHEN contains(d.name, 'noten') THEN 'SKIP' WHEN l.quality = 0 THEN 'FAIL' ELSE 'OK' END AS status, count(*) AS files FROM d LEFT JOIN labels l USING (doc_id) GROUP BY 1""")
+def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 7 == 0, "noten_").otherwise("song_"), F.col("doc_id").cast("string")).alias("name"))
+    rows = d.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return scoring.status_rollup(rows.withColumn("status", F.when(L.is_notation_name(F.col("name")), "SKIP").when(F.col("quality") == 0, "FAIL").otherwise("OK")))
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_score(spark, sf_dir)
