@@ -204,3 +204,15 @@ def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Every document's words, words hit by benchmark windows, and benchmark items found."""
     documents, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return report(documents.select(F.col("doc_id").cast("long"), "text"), benchmark)
+
+
+_WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""WITH d AS (SELECT doc_id, coalesce({_WORDS_SQL}, []) AS ws FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS ws FROM benchmark),
+  bw AS (SELECT DISTINCT item, least(len(ws), {WINDOW}) AS n, unnest(list_transform(range(1, greatest(2, len(ws) - {WINDOW - 2})), lambda i: array_to_string(ws[i:i + {WINDOW - 1}], ' '))) AS win FROM b WHERE len(ws) > 0),
+  ns AS (SELECT DISTINCT n FROM bw),
+  dw AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS pos, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS win FROM d, ns WHERE len(ws) >= n),
+  hit AS (SELECT doc_id, pos, n, item FROM dw JOIN bw USING (n, win)),
+  marked AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM hit) GROUP BY doc_id),
+  items AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(len(items), 0) >= {MIN_ITEMS} AS contaminated
+FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_chat": chat.op10_chat,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_licenses": licenses.SQL, "op4_decontaminate": decontaminate.SQL, "op10_chat": chat.SQL}

@@ -161,3 +161,30 @@ def op3_licenses(spark, sf_dir: str) -> DataFrame:
     """The licence of every document, its own or inherited; see :func:`as_files` for the paths."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return scan(as_files(documents)).select(F.regexp_extract("path", r"\.(\d+)$", 1).cast("long").alias("doc_id"), "path", "licence", "similarity", "origin", "origin_dir")
+
+
+def _sql() -> str:
+    """The query in DuckDB's SQL: every line and licence file compared with every template that shares a word."""
+    rows = ", ".join("('" + "', '".join((n, str(k), t.replace("'", "''"))) + "')" for n, ts in sorted(TEMPLATES.items()) for k, t in enumerate(ts))
+    words = "unnest(regexp_extract_all(lower({}), '" + _WORD + "'))"
+    return f"""WITH files AS (SELECT doc_id, text, CASE WHEN doc_id % 50 = 0 THEN source || '/' || lang ELSE source || '/' || lang || '/shelf' || (doc_id % 20) END AS dir,
+    CASE WHEN doc_id % 10 = 0 THEN 'LICENSE.' ELSE 'd.' END || doc_id AS name FROM documents),
+  tpl(licence, template, text) AS (VALUES {rows}), tw AS (SELECT licence, template, {words.format("text")} AS w FROM tpl), vocab AS (SELECT DISTINCT w FROM tw),
+  held AS (SELECT doc_id, {words.format("text")} AS w FROM files), total AS (SELECT count(*) AS n FROM files),
+  df AS (SELECT w, count(DISTINCT doc_id) AS df FROM held SEMI JOIN vocab USING (w) GROUP BY w),
+  idf AS (SELECT w, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM vocab LEFT JOIN df USING (w), total),
+  raw AS (SELECT licence, template, w, count(*) * any_value(idf) AS v FROM tw JOIN idf USING (w) GROUP BY licence, template, w),
+  weights AS (SELECT licence, template, w, v / sqrt(sum(v * v) OVER (PARTITION BY licence, template)) AS weight FROM raw),
+  units AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS unit, unnest(string_split(text, chr(10))) AS line FROM files UNION ALL SELECT doc_id, 0, text FROM files WHERE doc_id % 10 = 0),
+  uw AS (SELECT doc_id, unit, {words.format("line")} AS w FROM units), tf AS (SELECT doc_id, unit, w, count(*) AS tf FROM uw GROUP BY ALL),
+  v AS (SELECT doc_id, unit, w, tf * idf AS v, CASE WHEN idf IS NULL THEN tf * pow(ln(n + 1) + 1, 2) ELSE pow(tf * idf, 2) END AS part FROM tf LEFT JOIN idf USING (w), total),
+  norms AS (SELECT doc_id, unit, sqrt(sum(part)) AS norm FROM v GROUP BY ALL),
+  cosine AS (SELECT doc_id, unit, licence, template, sum(v.v * weight) AS dot FROM v JOIN weights USING (w) GROUP BY ALL),
+  own AS (SELECT doc_id, licence, round(dot / norm, 6) AS similarity FROM cosine JOIN norms USING (doc_id, unit) WHERE round(dot / norm, 6) >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(dot / norm, 6) DESC, licence) = 1),
+  granted AS (SELECT dir AS origin_dir, licence AS granted FROM own JOIN files USING (doc_id) WHERE doc_id % 10 = 0 QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, dir || '/' || name) = 1),
+  near AS (SELECT f.doc_id, g.origin_dir, g.granted FROM files f JOIN granted g ON f.dir = g.origin_dir OR starts_with(f.dir, g.origin_dir || '/') QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY length(g.origin_dir) DESC) = 1)
+SELECT doc_id, dir || '/' || name AS path, coalesce(licence, granted) AS licence, similarity, CASE WHEN licence IS NOT NULL THEN 'own' WHEN granted IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN licence IS NULL THEN origin_dir END AS origin_dir FROM files LEFT JOIN own USING (doc_id) LEFT JOIN near USING (doc_id)"""
+
+
+SQL = _sql()
