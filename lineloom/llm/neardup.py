@@ -189,7 +189,8 @@ def classes(fps: DataFrame, bits: int = BITS) -> DataFrame:
 def near_duplicates(documents: DataFrame, bits: int = BITS, width: int = SHINGLE) -> DataFrame:
     """``(doc_id, fp, component_id)`` of every row of ``documents``."""
     fps = checkpointed(fingerprints(documents, width))
-    return fps.join(classes(fps, bits), "fp").select("doc_id", "fp", "component_id")
+    # Cut off, so that both sides of the join are plain exchanges and Spark can split a hot fingerprint.
+    return fps.join(checkpointed(classes(fps, bits)), "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(documents: DataFrame, bits: int = BITS, width: int = SHINGLE) -> DataFrame:
@@ -206,7 +207,7 @@ def one_of_each(documents: DataFrame, bits: int = BITS, width: int = SHINGLE) ->
 
     keyed = documents.withColumn("__h", text_hash)
     rows = checkpointed(keyed.select(F.col("doc_id").cast("long"), "text", "__h").mapInArrow(run, "doc_id long, h long, fp long"))
-    chosen = rows.join(classes(rows, bits), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__first"))
+    chosen = rows.join(checkpointed(classes(rows, bits)), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__first"))
     out = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["__id"]) & (keyed["__h"] == chosen["__first"]), "left_semi")
     if not rows.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "__h"])
