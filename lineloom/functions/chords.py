@@ -105,21 +105,21 @@ def is_chord_only(line: Column, variant: str = "sus") -> Column:
 def is_mostly_chords(line: Column, least: int = 2, share: float = 0.6) -> Column:
     """Tolerant form; six or more chords that are nearly all single letters do not count."""
     t = cleaned_tokens(line)
-    n, m = F.size(F.filter(t, is_chord)), F.size(t)
+    n, m = F.size(F.filter(t, lambda x: is_chord(x))), F.size(t)
     single = F.size(F.filter(t, lambda x: is_chord(x) & (F.length(x) == 1)))
     return (n >= least) & (n >= m * share) & ~((n >= 6) & (single >= n * 0.85))
 
 
 def is_dominant(line: Column, share: float = 0.7) -> Column:
     t = cleaned_tokens(line)
-    n = F.size(F.filter(t, is_chord))
+    n = F.size(F.filter(t, lambda x: is_chord(x)))
     return (n >= 1) & (n >= F.ceil(F.size(t) * share))
 
 
 def is_likely(line: Column) -> Column:
     """All tokens but one at most are chords; an empty line is."""
     t = cleaned_tokens(line)
-    return (F.size(t) == 0) | (F.size(F.filter(t, is_chord)) >= F.greatest(F.lit(1), F.size(t) - 1))
+    return (F.size(t) == 0) | (F.size(F.filter(t, lambda x: is_chord(x))) >= F.greatest(F.lit(1), F.size(t) - 1))
 
 
 def only_tokens(line: Column) -> Column:
@@ -277,3 +277,22 @@ def place_by_column(chord_line: Column, lyric: Column, tab: int = 12) -> Column:
         return F.coalesce(F.when(short & (target > inside["start"]), following["start"]), inside["start"], F.when(previous.isNotNull() & (target - previous["end"] <= 4), previous["start"]), following["start"], target)
 
     return F.transform(found, lambda p, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(move(F.bround(p["pos"] / width * F.length(lyric)).cast("int"))).cast("int").alias("pos"), p["chord"].alias("chord")))
+
+
+def paragraph_chords(line: Column, runs: Column) -> Column:
+    """The chords of a paragraph of chords, told by its text or, if it has two runs of text or more, by its runs; else null."""
+    parts = F.filter(F.transform(runs, lambda r: clean(r)), lambda t: t != "")
+    by_run = (F.size(parts) >= 2) & F.forall(parts, lambda x: is_chord(x))
+    return F.when(is_chord_only(line), chord_tokens(line)).when(F.coalesce(by_run, F.lit(False)), parts)
+
+
+def segments(line: Column) -> Column:
+    """A line cut into runs of chords and of other tokens: ``array<struct<chord, tokens>>``."""
+    start = F.array().cast("array<struct<chord:boolean,tokens:array<string>>>")
+
+    def step(acc: Column, t: Column) -> Column:
+        chord, last = is_chord(clean(t), "any"), at(acc, -1)
+        grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(chord.alias("chord"), F.concat(last["tokens"], F.array(t)).alias("tokens"))))
+        return F.when((F.size(acc) > 0) & F.coalesce(last["chord"] == chord, F.lit(False)), grown).otherwise(F.concat(acc, F.array(F.struct(chord.alias("chord"), F.array(t).alias("tokens")))))
+
+    return F.aggregate(text.tokens(line), start, step)

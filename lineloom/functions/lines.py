@@ -180,3 +180,8 @@ def is_title_candidate(line: Column, name: Column) -> Column:
 def lyric_score(line: Column) -> Column:
     """Of near-duplicate lines the one of larger score is better."""
     return letters(line) * 4 + F.size(tokens(line)) - digits(line) * 3 - symbols(line, r".,;:!?'\"()-") * 5
+
+
+def is_notation_message(message: Column) -> Column:
+    """Messages that speak of notation, images only or missing chords."""
+    return F.lower(F.coalesce(message, F.lit(""))).rlike("noten|notation|sheet music|image.only|no chords")

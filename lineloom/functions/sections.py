@@ -159,3 +159,18 @@ def title_penalty(title: Column, expected: Column | None = None) -> Column:
         s = edit_similarity(phrase_key(title), phrase_key(expected))
         out = out + F.when(stripped(expected) == "", 0.0).when(s < 0.45, 30.0).when(s < 0.70, 12.0).otherwise(0.0)
     return F.when(stripped(title) == "", F.lit(40.0)).otherwise(out)
+
+
+def prefers_name(title: Column, name: Column) -> Column:
+    """Whether the file's name makes the better title: one doubtful word against several, or a doubtful likeness of it."""
+    words = lambda c: F.size(F.filter(F.split(stripped(c), r"\s+"), lambda x: x != ""))
+    doubtful = is_suspicious_title(title)
+    s = edit_similarity(phrase_key(title), phrase_key(name))
+    return ((words(title) == 1) & (words(name) >= 2) & (doubtful | (F.length(title) < F.length(name) * 0.5))) | ((s >= 0.45) & (doubtful | (s >= 0.78)))
+
+
+def copyright_of(line: Column) -> Column:
+    """``struct<rank, value>``: an explicit label ranks before a bare sign, other lines are null."""
+    named = F.regexp_extract(line, r"(?i)\b(?:copyright|urheber|rechte)\s*:\s*(.+)$", 1)
+    sign = F.regexp_extract(line, r"((?:©|\(c\)).{2,120})$", 1)
+    return F.when(named != "", F.struct(F.lit(0).alias("rank"), F.trim(named).alias("value"))).when((sign != "") & (letters(line) >= 4), F.struct(F.lit(1).alias("rank"), F.trim(sign).alias("value")))

@@ -189,3 +189,10 @@ def columns_of(c: Column, least: int = 120) -> Column:
     """Long lines without brackets cut at runs of two or more blanks."""
     cut = F.filter(F.split(c, r" {2,}"), lambda p: F.trim(p) != "")
     return F.when((F.length(c) > least) & ~c.contains("["), cut).otherwise(F.array(c))
+
+
+def processed_lyric(c: Column, rules: list[tuple[str, str]] | None = None) -> Column:
+    """A lyric line of a dump: nothing before its first letter, bars and rules out, dashes plain, rules applied."""
+    out = F.regexp_replace(c, r"^[^\p{L}]+", "")
+    out = F.regexp_replace(plain_dashes(out), r"[_|~=^]+", " ")
+    return normal_space(apply_rules(out, rules or []))

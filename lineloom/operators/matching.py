@@ -143,3 +143,18 @@ def reuse_chords(lines: DataFrame, gap: float = 180.0) -> DataFrame:
     rows = rows.withColumn("__active", F.last(F.when(F.col("is_chord"), F.struct("line_no", "bottom")), ignorenulls=True).over(seg))
     use = ~F.col("is_chord") & is_verse_number(F.col("line")) & (F.col("top") - F.col("__active.bottom") <= 2 * gap)
     return rows.withColumn("chord_no", F.when(use, F.col("__active.line_no"))).select(*lines.columns, "chord_no")
+
+
+def match_parts(lines: DataFrame, reference: DataFrame) -> DataFrame:
+    """As :func:`match_by_occurrence`; a line without a match is cut at wide gaps and matches if all its parts do.
+
+    ``ref_nos`` holds the numbers of the matched reference lines, null without a match.
+    """
+    whole = match_by_occurrence(lines, reference)
+    open_ = whole.filter("ref_no is null").select("doc_id", "line_no", F.posexplode(F.split(stripped(F.col("line")), r" {2,}")).alias("part", "line"))
+    left = reference.join(whole.filter("ref_no is not null").select("doc_id", F.col("ref_no").alias("line_no")), ["doc_id", "line_no"], "left_anti")
+    numbered = open_.withColumnRenamed("line_no", "owner").withColumn("line_no", F.col("owner") * 1000 + F.col("part"))
+    parts = match_by_occurrence(numbered, left).groupBy("doc_id", F.col("owner").alias("line_no")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("ref_no")).alias("found"))
+    fits = parts.filter((F.col("n") > 1) & (F.size("found") == F.col("n"))).select("doc_id", "line_no", "found")
+    out = whole.join(fits, ["doc_id", "line_no"], "left")
+    return out.withColumn("ref_nos", F.coalesce(F.when(F.col("ref_no").isNotNull(), F.array("ref_no")), F.col("found"))).select(*lines.columns, "ref_nos")

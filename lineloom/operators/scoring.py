@@ -191,3 +191,10 @@ def letters_to_lines(letters_: DataFrame) -> DataFrame:
     rows = rows.withColumn("__gap", F.col("left") - F.lag("right").over(by_x)).withColumn("__w", F.avg(F.col("right") - F.col("left")).over(line))
     piece = F.concat(F.when(F.col("__gap") > F.greatest(F.lit(1.0), F.col("__w") * 1.6), " ").otherwise(""), F.col("letter"))
     return rows.withColumn("piece", piece).groupBy("doc_id", "page_no", "base").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "piece"))), lambda x: x["piece"]), "").alias("line"))
+
+
+def best_mode(recognised: DataFrame) -> DataFrame:
+    """Of each page's recognitions ``(doc_id, mode_no, text)`` the one of best text score, the first mode on ties."""
+    rows = recognised.withColumn("score", text_score(F.col("text")))
+    best = rows.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("mode_no")).alias("m"), "text")).alias("b"))
+    return best.select("doc_id", (-F.col("b.m")).alias("mode_no"), F.col("b.score").alias("score"), F.col("b.text").alias("text"))

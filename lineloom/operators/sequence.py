@@ -221,3 +221,40 @@ def otsu(histogram: DataFrame, bins: str = "bin", n: str = "n", key: str | None
     rows = rows.withColumn("__v", F.when((b > 0) & (f > 0), between).otherwise(0.0))
     best = F.max(F.struct(F.col("__v").alias("v"), (-F.col(bins)).alias("b")))
     return rows.groupBy(*keys).agg(F.when(best["v"] > 0, -best["b"]).otherwise(128).cast("int").alias("threshold"))
+
+
+def documents_with_chords(df: DataFrame) -> DataFrame:
+    """``(doc_id, has_chords)``: whether any line shows chords."""
+    from ..functions.chords import has_chords
+
+    return df.groupBy(DOC).agg(F.coalesce(F.bool_or(has_chords(F.col("line"))), F.lit(False)).alias("has_chords"))
+
+
+def titles_by_name(df: DataFrame, names: DataFrame, first: int = 12) -> DataFrame:
+    """``(doc_id, title)``: the first candidate among the first lines, the file's name without one or where it serves better."""
+    rows = first_lines(df, first).join(names, DOC)
+    found = rows.filter(L.is_title_candidate(F.col("line"), F.col("name"))).groupBy(DOC).agg(F.min_by("line", ORDER).alias("__t"))
+    out = names.join(found, DOC, "left")
+    title = S.clean_title(F.coalesce("__t", "name"))
+    return out.select(DOC, F.when(F.col("__t").isNull() | S.prefers_name(title, F.col("name")), F.col("name")).otherwise(title).alias("title"))
+
+
+def copyrights(df: DataFrame) -> DataFrame:
+    """``(doc_id, copyright)``: the first labelled notice, else the first with a sign."""
+    rows = df.withColumn("__c", S.copyright_of(F.col("line"))).filter("__c is not null")
+    return rows.groupBy(DOC).agg(F.min_by(F.col("__c.value"), F.struct(F.col("__c.rank"), ORDER)).alias("copyright"))
+
+
+def drop_false_verses(df: DataFrame, titles: DataFrame, most: int = 4) -> DataFrame:
+    """``Vers n`` comments with ``n`` beyond ``most`` go where the next content line is a fragment of the title."""
+    line = F.col("line")
+    number = F.regexp_extract(line, r"(?i)^\{comment:\s*vers(?:e)?\s*(\d+)\s*\}$", 1)
+    rows = df.withColumn("__next", F.first(F.when(L.is_content(line), line), ignorenulls=True).over(ahead())).join(titles, DOC, "left")
+    false = (number != "") & (number.cast("long") > most) & S.is_title_fragment(F.coalesce("__next", F.lit("")), F.coalesce("title", F.lit("")))
+    return rows.filter(~F.coalesce(false, F.lit(False))).select(*df.columns)
+
+
+def lines_by_section(df: DataFrame, section: str = "section") -> DataFrame:
+    """``(doc_id, section, lines)``: the lines of each section in order; names that differ in case are one."""
+    rows = df.groupBy(DOC, F.lower(section).alias("section")).agg(F.array_sort(F.collect_list(F.struct(ORDER, "line"))).alias("a"))
+    return rows.select(DOC, "section", F.transform("a", lambda x: x["line"]).alias("lines"))

@@ -487,6 +487,30 @@ def region_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.drop_duplicate_regions(r, 0.2)
 
 
+@query(f"""WITH {BOXES}, n AS (SELECT doc_id, line_no, top, bottom, 
+  last_value(CASE WHEN is_chord THEN line_no END IGNORE NULLS) OVER w AS k, last_value(CASE WHEN is_chord THEN bottom END IGNORE NULLS) OVER w AS kb FROM boxes WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING))
+SELECT doc_id, line_no, CASE WHEN top - kb <= 260 THEN k END AS note_no FROM n""")
+def nearest_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.nearest_note_above(inputs.boxes(spark, sf_dir), F.col("is_chord")).select("doc_id", "line_no", "note_no")
+
+
+@query(f"""WITH {BOXES} SELECT doc_id, line_no, count(*) AS n_words, min("left") AS w_left, max("right") AS w_right FROM (SELECT doc_id, line_no, "left", "right", unnest(['la', 'wide', 'mixed']) FROM boxes) GROUP BY ALL""")
+def region_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = inputs.boxes(spark, sf_dir).withColumnRenamed("line_no", "region_no").withColumn("text", F.lit("la wide mixed"))
+    w = scoring.words_of_regions(r.select("doc_id", "page_no", "region_no", "left", "right", "top", "bottom", "text"))
+    return w.groupBy("doc_id", F.col("region_no").alias("line_no")).agg(F.count(F.lit(1)).alias("n_words"), F.round(F.min("w_left"), 6).alias("w_left"), F.round(F.max("w_right"), 6).alias("w_right"))
+
+
+@query(f"""WITH {BOXES}, l AS (SELECT doc_id, round_even(bottom / 50, 0) AS base, "left", "right", CASE WHEN is_chord THEN 'c' ELSE 'l' END AS letter FROM boxes),
+  g AS (SELECT *, "left" - lag("right") OVER w AS gap, avg("right" - "left") OVER (PARTITION BY doc_id, base) AS mw FROM l WINDOW w AS (PARTITION BY doc_id, base ORDER BY "left"))
+SELECT doc_id, base, count(*) AS n, count(*) FILTER (WHERE gap > greatest(1.0, mw * 1.6)) AS n_gaps FROM g GROUP BY ALL""")
+def letter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = inputs.boxes(spark, sf_dir)
+    x = b.select("doc_id", "page_no", F.bround(F.col("bottom") / 50, 0).alias("bottom"), "left", "right", F.when(F.col("is_chord"), "c").otherwise("l").alias("letter"))
+    line = scoring.letters_to_lines(x)
+    return line.select("doc_id", "base", F.length(F.replace("line", F.lit(" "))).cast("long").alias("n"), F.regexp_count("line", F.lit(" ")).cast("long").alias("n_gaps"))
+
+
 # choice and status ----------------------------------------------------------------------------
 
 
@@ -508,6 +532,66 @@ def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.status_rollup(rows.withColumn("status", F.when(L.is_notation_name(F.col("name")), "SKIP").when(F.col("quality") == 0, "FAIL").otherwise("OK")))
 
 
+@query(f"""WITH {SHEET} SELECT doc_id, coalesce(bool_or(regexp_matches(line, '\\[[^\\]]*\\]')), false) AS has_chords FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND is_chord THEN '[' || split_part(line, ' ', 1) || ']' ELSE line END AS line FROM sheet WHERE NOT (is_chord AND doc_id % 2 = 1)) GROUP BY doc_id""")
+def chord_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = inputs.sheet(spark, sf_dir).filter("not (is_chord and doc_id % 2 = 1)")
+    line = F.when((F.col("doc_id") % 2 == 0) & F.col("is_chord"), F.concat(F.lit("["), at(F.split("line", " "), 1), F.lit("]"))).otherwise(F.col("line"))
+    return W.documents_with_chords(s.withColumn("line", line))
+
+
+@query(f"""WITH {SHEET}, k AS (SELECT *, max(CASE WHEN line = 'Bridge' OR line LIKE 'Vers%' OR line = 'Chorus:' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS started FROM sheet) SELECT doc_id, line_no, line FROM k WHERE started = 1""")
+def started_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = inputs.sheet(spark, sf_dir)
+    return W.from_start(s, F.col("is_label")).select("doc_id", "line_no", "line")
+
+
+@query(f"WITH {SHEET}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY line_no) AS k FROM sheet) SELECT doc_id, line_no, line FROM k WHERE k = 1")
+def first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.first_of(inputs.sheet(spark, sf_dir).select("doc_id", "line_no", "line"), F.col("line"))
+
+
+@query(f"WITH {SHEET} SELECT doc_id, lower(coalesce(explicit, 'none')) AS section, count(*) AS n, string_agg(line, '|' ORDER BY line_no) AS lines FROM sheet GROUP BY ALL")
+def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = inputs.sheet(spark, sf_dir).withColumn("section", F.coalesce("explicit", F.lit("none")))
+    return W.lines_by_section(s).select("doc_id", "section", F.size("lines").cast("long").alias("n"), F.array_join("lines", "|").alias("lines"))
+
+
+@query("""WITH p AS (SELECT doc_id, CAST(n_chars % 211 AS DOUBLE) AS score, CAST(doc_id % 17 AS BIGINT) AS fragments, CAST(doc_id % 5 AS BIGINT) AS chords, CAST(doc_id % 193 AS DOUBLE) AS donor_score, CAST(n_chars % 13 AS BIGINT) AS donor_fragments, CAST(n_chars % 7 AS BIGINT) AS donor_chords FROM documents)
+SELECT *, CASE WHEN donor_chords < chords THEN false WHEN donor_score >= score + 20 THEN true WHEN donor_chords > chords + 2 AND donor_score >= score - 8 THEN true WHEN donor_fragments < fragments AND donor_score >= score - 10 THEN true WHEN donor_chords > chords AND donor_score >= score + 8 THEN true ELSE false END AS accepted FROM p""")
+def donor_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    p = d.select("doc_id", (F.col("n_chars") % 211).cast("double").alias("score"), (i % 17).alias("fragments"), (i % 5).alias("chords"), (i % 193).cast("double").alias("donor_score"), (F.col("n_chars") % 13).alias("donor_fragments"), (F.col("n_chars") % 7).alias("donor_chords"))
+    return scoring.accept_donor(p)
+
+
+@query(f"WITH {CREDITS} SELECT doc_id, line AS copyright FROM credits WHERE line LIKE '© %'")
+def copyright_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.copyrights(inputs.credits(spark, sf_dir).withColumn("line_no", F.lit(0)))
+
+
+@query(rf"""WITH {SHEET} SELECT doc_id, line_no, CASE WHEN lower(line) LIKE 'vers%' THEN 'Vers ' || regexp_extract(line, '([1-9])$', 1) WHEN line = 'Chorus:' THEN 'Chorus' WHEN line = 'Bridge' THEN 'Bridge' END AS marker, CASE WHEN line = 'Chorus:' THEN 'chorus' WHEN line = 'Bridge' THEN 'bridge' END AS label FROM sheet""")
+def structure_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.sheet(spark, sf_dir).select("doc_id", "line_no", S.structure_marker(F.col("line")).alias("marker"), S.single_word_label(F.col("line")).alias("label"))
+
+
+@query()
+def mode_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    modes = d.select("doc_id", F.lit(0).alias("mode_no"), "text").unionByName(d.select("doc_id", F.lit(1).alias("mode_no"), F.regexp_replace("text", "[aeiou]", "|").alias("text")))
+    return scoring.best_mode(modes).select("doc_id", "mode_no", F.round("score", 4).alias("score"))
+
+
+@query()
+def title_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Document "), F.col("source")).alias("name"))
+    return W.titles_by_name(inputs.lines(spark, sf_dir), names)
+
+
+@query()
+def notation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaner.remove_notation(inputs.lines(spark, sf_dir))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality_score(spark, sf_dir)

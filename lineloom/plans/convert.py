@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field, fields
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,15 @@ class Options:
     rules: list[tuple[str, str]] = field(default_factory=list)
     chorus: list[str] = field(default_factory=list)
 
+    @classmethod
+    def from_json(cls, text: str) -> Options:
+        """Options of a JSON object; unknown names are left out."""
+        known = {f.name for f in fields(cls)}
+        return cls(**{k: v for k, v in json.loads(text or "{}").items() if k in known})
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
 
 def classified(lines: DataFrame) -> DataFrame:
     """Lines with what they are: ``is_chord``, ``is_label``, ``explicit`` section."""

@@ -178,3 +178,20 @@ def write_text_files(documents: DataFrame, folder: str, name: str = "path", suff
 def plain_name(path: str) -> str:
     """A path's file name without its last extension."""
     return re.sub(r"\.[^.]*$", "", path.rsplit("/", 1)[-1])
+
+
+def docx_media(files: DataFrame) -> DataFrame:
+    """Raster images under ``word/media``: ``(path, name, content)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content.as_py() or b"")) as z:
+                        got = [(n, z.read(n)) for n in z.namelist() if re.match(r"(?i)word/media/.*\.(png|jpe?g|bmp|pgm|ppm)$", n)]
+                except zipfile.BadZipFile:
+                    continue
+                for name, data in got:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), pa.array([data], pa.binary())], ["path", "name", "content"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, name string, content binary")

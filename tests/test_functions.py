@@ -23,6 +23,36 @@ CASES = [
     (C.root, {"F#m": "F#", "Bb": "Bb", "x": None, None: None}),
     (C.is_chord_only, {"C  G Am": True, "C hello": False, "": False}),
     (C.is_bare_row, {"A #": True, "F m": True, "B m D E": True, "[A]": False, "no way": False}),
+    (C.is_mostly_chords, {"C G la": True, "C la la": False, "C": False, "A B C D E F": False, "Am B C D E F#": True}),
+    (C.is_dominant, {"C G la": False, "C G Am la": True, "la": False}),
+    (C.is_likely, {"C la": True, "la le": False, "": True}),
+    (C.has_chords, {"a [C] b": True, "C G": True, "la": False}),
+    (lambda c: F.size(C.segments(c)), {"C G la le Am": 3, "": 0, "la": 1}),
+    (lambda c: C.paragraph_chords(c, F.split(c, "/")), {"C G": ["C", "G"], "C/G": ["C/G"], "la le": None, "la/C": None}),
+    (lambda c: F.size(C.only_tokens(c)), {"C G": 2, "C la": None}),
+    (L.is_staff_noise, {"": True, "a === b": True, "plain words": False, "|| x": True}),
+    (L.is_short_tokens, {"a b c d e f": True, "a b c d e word": False}),
+    (L.is_lyric, {"1. la la la": False, "la la la la la": True}),
+    (L.is_lyric_start, {"1. la la la": True, "short one": False, "long enough to begin": True, "has 1 digit in the line": False}),
+    (L.is_body_garbage, {"": True, "this is a fine line of words here": False}),
+    (L.is_note_noise, {"=== ---- ===": True, "this is a fine line of words here": False}),
+    (L.is_chord_noise, {"la la": True, "C G": False, "C": True}),
+    (L.is_fragmented, {"a 1 b c": True, "whole words in here": False}),
+    (L.is_footer_credit, {"Text: somebody": True, "Text: 1999": False, "la la la la": False}),
+    (L.is_lowercase_lead, {"and so it goes": True, "And so it goes": False, "and so": False}),
+    (L.is_noisy_lead, {"a b c d": True, "words of some length": False, "a1 b2": True}),
+    (L.is_mostly_noise, {"===": True, "12": False, "fine": False}),
+    (L.is_section_label, {"Vers 1": True, "Refrain:": True, "la": False}),
+    (L.is_solo, {"solo C G": True, "solo": False}),
+    (L.is_fragmented_words, {"A b C d ef gh": True, "five words of some length here": False}),
+    (lambda c: L.is_title_candidate(c, F.lit("My file")), {"A fine title": True, "my file": True, "x1": False, "[C] title here": False}),
+    (lambda c: L.is_region_noise(c, F.lit(0.9)), {"la": False, "##": True, "a#": True}),
+    (lambda c: S.prefers_name(c, F.lit("Two words")), {"Tw!!": True, "Other title": False}),
+    (lambda c: S.is_title_fragment(c, F.lit("a mighty fortress")), {"a mighty fortres": True, "something else": False, "short": False}),
+    (lambda c: S.prefix_section(c, 20), {"Vers 25": "Vers 2", "Vers 3": "Vers 3", "Bridge x": "Bridge", "la": None, "Refrain": "Chorus"}),
+    (lambda c: S.title_penalty(c), {"": 40.0, "Fine title": 0.0, "Title 1": 18.0, "Who?": 18.0}),
+    (lambda c: S.format_comment(c), {"verse 2": "{comment: verse 2}", "pre_chorus": "{comment: pre chorus}"}),
+    (lambda c: F.size(S.metadata(c)), {"Text: a; Melodie: b": 2, "© me": 1, "la": 0}),
     (C.strip_chords, {"[C]la [G]le": "la le"}),
     (C.drop_invalid, {"[C]la [t]le [1t]lo": "[C]la le lo"}),
     (T.phrase_key, {"Größe, 1!": "grosse1", None: ""}),
