@@ -1,9 +1,9 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
 Voters are words, word beginnings (for languages that inflect) and patterns of the whole text, found
-from labelled rows: terms that many toxic texts and few others hold.  The label model estimates how
-often each voter votes within either class, together with the correlations among voters of one
-class; a voter that repeats others weighs accordingly less.  The labels given are one more voter.
+from labelled rows: terms that many toxic texts and few others hold; one voter speaks against where no
+term is found.  The label model estimates each voter's accuracy and the correlations among voters; a
+voter that repeats others weighs accordingly less.  The labels given are one more voter.
 The posterior labels train a logistic classifier on all terms, which scores every document.
 
 Null and empty texts hold no term and score like one.  Without toxic or without other labelled rows
@@ -31,6 +31,8 @@ FIT_ROWS = 16_384
 COUNTED, TERMS, VOTERS = 20_000, 384, 96
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
+#: Ridge of the logistic classifier.
+RIDGE = 0.1
 _WORD = re.compile(r"\w+")
 
 
@@ -79,28 +81,39 @@ class Model:
 
 
 def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of toxicity of each row, the voters' rates by class (2, voters), and the weight left to each voter.
-
-    Expectation-maximisation over a mixture of two classes.  Correlations of voters within a class are
-    those of their residuals under the current posterior; a voter's log-odds are divided by the number
-    of voters it stands for, the sum of its positive correlations.
+    """Posterior of toxicity of each row, each voter's accuracy (share of toxic rows where it votes), and the weight left to it.
+
+    Votes are 1 (toxic), -1 (not) or 0 (none: it says nothing, so a lexicon of one language does not
+    speak against texts of another).  Expectation-maximisation: a vote moves the log-odds from the
+    prior's to those of its accuracy.  Correlations of voters are those of their votes' residuals under
+    the current posterior; a voter counts by one over the number of voters it stands for, the sum of
+    its positive correlations.  The labels given are the last voter, 1 or 0 meaning toxic or not; they
+    also fix the prior and three quarters of the evidence on accuracies, so votes that agree by chance cannot
+    lift each other from round to round.
     """
-    v = np.hstack([votes, given[:, None]]).astype(float)
-    p = np.where(given > 0, 0.95, 0.03)
-    weight, rates = np.ones(v.shape[1]), np.zeros((2, v.shape[1]))
+
+    def odds(x):
+        return np.log(x / (1 - x))
+
+    v = np.hstack([votes, np.where(given > 0, 1, -1)[:, None]])
+    yes, no, fired = (v > 0).astype(float), (v < 0).astype(float), (v != 0).astype(float)
+    told = np.where(given > 0, 0.95, 0.03)
+    p, prior = told, float(np.clip(told.mean(), 1e-4, 1 - 1e-4))
+    weight, right = np.ones(v.shape[1]), np.zeros(v.shape[1])
     for step in range(rounds):
-        for c, q in ((0, 1 - p), (1, p)):
-            rates[c] = (q @ v + 0.5) / (q.sum() + 1.0)
+        held = 0.25 * p + 0.75 * told
+        right = np.clip((held @ yes + 2 * prior) / (yes.sum(0) + 2), 1e-4, 1 - 1e-4)
+        wrong = np.clip((held @ no + 2 * prior) / (no.sum(0) + 2), 1e-4, 1 - 1e-4)
         if step % 5 == 0:
-            r = v - np.outer(1 - p, rates[0]) - np.outer(p, rates[1])
+            rates = [(q @ fired) / max(q.sum(), 1e-9) for q in (1 - p, p)]
+            r = fired - np.outer(1 - p, rates[0]) - np.outer(p, rates[1])
             cov = r.T @ r / len(r)
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             rho = cov / np.outer(sd, sd)
             weight = 1 / np.where(rho > 0.15, rho, 0).sum(1).clip(1)
-        prior = p.mean().clip(1e-4, 1 - 1e-4)
-        log = np.log(prior / (1 - prior)) + (v * np.log(rates[1] / rates[0]) + (1 - v) * np.log((1 - rates[1]) / (1 - rates[0]))) @ weight
+        log = odds(prior) + yes @ (weight * (odds(right) - odds(prior))) + no @ (weight * (odds(wrong) - odds(prior)))
         p = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
-    return p, rates, weight
+    return p, right, weight
 
 
 def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -174,9 +187,10 @@ def fit(documents: DataFrame, labels: DataFrame, keep: Column, bound: int = FIT_
     x, given = np.zeros((len(got), len(chosen) + N_PATTERNS)), np.array([float(r["label"] > 0) for r in got])
     for i, r in enumerate(got):
         x[i, r["at"]] = 1
-    voters = [*range(min(VOTERS, len(chosen))), *range(len(chosen), len(chosen) + N_PATTERNS)]
-    posterior, _, _ = label_model(x[:, voters], given)
-    w = logistic(x, posterior)
+    lexicon = x[:, : min(VOTERS, len(chosen))]
+    none = np.where(x[:, : len(chosen)].any(1), 0, -1)[:, None]
+    posterior, _, _ = label_model(np.hstack([lexicon, x[:, len(chosen) :], none]), given)
+    w = logistic(x, posterior, 0.1)
     return Model(chosen, w[:-1], float(w[-1]))
 
 
