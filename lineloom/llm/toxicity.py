@@ -97,7 +97,7 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> tuple
 
     v = np.hstack([votes, np.where(given > 0, 1, -1)[:, None]])
     yes, no, fired = (v > 0).astype(float), (v < 0).astype(float), (v != 0).astype(float)
-    told = np.where(given > 0, 0.95, 0.03)
+    told = np.where(given > 0, 0.98, 0.01)
     p, prior = told, float(np.clip(told.mean(), 1e-4, 1 - 1e-4))
     weight, right = np.ones(v.shape[1]), np.zeros(v.shape[1])
     for step in range(rounds):

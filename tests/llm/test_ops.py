@@ -249,7 +249,7 @@ def test_label_model():
     copy = [good[0]] * 3
     noise = [rng.random(4000) < 0.1]
     p, right, weight = toxicity.label_model(np.array([*good, *copy, *noise]).T.astype(float), y.astype(float))
-    assert ((p > 0.5) == y).mean() > 0.95 and abs(right[1] - 0.897) < 0.04 and abs(right[7] - 0.2) < 0.06 and weight[0] < 0.35 and weight[7] > 0.9
+    assert ((p > 0.5) == y).mean() > 0.97 and abs(right[1] - 0.897) < 0.04 and abs(right[7] - 0.2) < 0.06 and weight[0] < 0.35 and weight[7] > 0.9
 
 
 # secrets ----------------------------------------------------------------------------------------
