@@ -12,7 +12,7 @@ _ROOT, _ACC = "[A-H]", "(?:#|b|is|es)?"
 _QUALITY = "(?:m|maj|min|sus|add|dim|aug)?"
 _EXT = "(?:2|4|5|6|7|9|11|13)?"
 _BASS = f"(?:/{_ROOT}{_ACC})?"
-#: One grammar; the variants differ in extensions, suspensions and accidentals.
+#: One grammar; the variants differ in extensions, suspensions and accidentals.  Fixed values.
 GRAMMAR = {
     "basic": f"{_ROOT}{_ACC}{_QUALITY}{_EXT}{_BASS}",
     "sus": f"{_ROOT}{_ACC}{_QUALITY}{_EXT}(?:sus[24])?{_BASS}",
@@ -22,6 +22,15 @@ GRAMMAR = {
     "loose": f"{_ROOT}[0-9/+#b]*",
 }
 BRACKETED = r"\[[A-GH][#b♯♭]?(?:m|M|maj|min|dim|aug)?(?:add|sus)?(?:[0-9]{1,2})?(?:/[A-GH][#b♯♭]?)?\]"
+#: Misread chord tokens and what they mean, in order.  Fixed values.
+MISREAD = [
+    (r"(?i)^([A-H])l(?=[A-Z])", "$1"),
+    (r"(?i)^([A-H])i?m$", "$1m"),
+    (r"(?i)^([A-H])(?:ma|mqj|maij|mai)7$", "$1maj7"),
+    (r"(?i)^([A-H])i([0-9]+)$", "$1$2"),
+]
+#: Tokens of a row of chord names without brackets.  Fixed value.
+BARE = r"^(?:[A-H][#b]?(?:m|M|maj|min|dim|aug|sus\d?|add\d?)?[0-9]?|[#b♯♭]|m|[0-9])$"
 ANCHOR = "array<struct<pos:int,chord:string>>"
 
 
@@ -42,13 +51,7 @@ def is_valid_bracket(c: Column) -> Column:
 def clean(token: Column) -> Column:
     """A chord token with the usual misreadings repaired; a lone small letter is a minor chord."""
     out = F.regexp_replace(text.stripped(token), "[^A-Za-z0-9#b/]+", "")
-    for pattern, by in (
-        (r"(?i)^([A-H])l(?=[A-Z])", "$1"),
-        (r"(?i)^([A-H])i?m$", "$1m"),
-        (r"(?i)^([A-H])(?:ma|mqj|maij|mai)7$", "$1maj7"),
-        (r"(?i)^([A-H])i([0-9]+)$", "$1$2"),
-    ):
-        out = F.regexp_replace(out, pattern, by)
+    out = text.apply_rules(out, MISREAD)
     minor = F.concat(F.upper(out), F.lit("m"))
     raised = F.regexp_replace(F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, 2, 1 << 20)), "^([A-H])[hH]", "$1")
     return F.when(out.rlike("^[a-h]$"), minor).when(out.rlike("^[A-H]$"), out).otherwise(raised)
@@ -130,8 +133,7 @@ def only_tokens(line: Column) -> Column:
 def is_bare_row(line: Column) -> Column:
     """One to eight tokens without brackets, each a chord, an accidental, ``m`` or a digit."""
     t = text.tokens(line)
-    pattern = r"^(?:[A-H][#b]?(?:m|M|maj|min|dim|aug|sus\d?|add\d?)?[0-9]?|[#b♯♭]|m|[0-9])$"
-    return ~line.rlike(r"[\[\]]") & F.size(t).between(1, 8) & F.forall(t, lambda x: x.rlike(pattern))
+    return ~line.rlike(r"[\[\]]") & F.size(t).between(1, 8) & F.forall(t, lambda x: x.rlike(BARE))
 
 
 def has_chords(line: Column) -> Column:

@@ -9,6 +9,24 @@ from pyspark.sql import functions as F
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
+#: Rests that recognition leaves at words, and what they become, in order.  Fixed values.
+ARTEFACTS = [
+    (r"(?<=\p{L}{2})[qT{%€£)(]+(?=\s|$)", ""),
+    (r"(?<=\p{L}{4})f+(?=\s|$)", ""),
+    (r"(?<=\p{L}{2})fl(?=\s|$)", ""),
+    (r"(?:^|\s)[>„<»«]+(?=\p{L})", " "),
+    (r"(\d+\.)>", "$1 "),
+    ("ﬂ", "fl"),
+    ("ﬁ", "fi"),
+    (r"(?<=\p{L})\.1(?=\s|$)", "!"),
+    (r"(?<=\p{L})1(?=\s|$)", ""),
+    ("[–—]", "-"),
+    (r"\s+[§®¤•◦·]+\s+", " "),
+    (" {2,}", " "),
+]
+#: Marks that general clean-up removes, in order.  Fixed values.
+MARKS = [(r"[_|~^]+", " "), (r"[<>{}\\]+", ""), (r"\s+[=*#%&$@]+(?=\s|$)", " "), (r"[=~_-]{3,}.*$", "")]
+
 
 def at(c: Column | str, i: Column | int) -> Column:
     """The ``i``-th element, from 1 or from the end if negative, or a map's value; null if there is none."""
@@ -108,29 +126,13 @@ def file_name(c: Column) -> Column:
 def repair(c: Column, dashes: bool = True) -> Column:
     """General clean-up of extracted text: dashes, bars, stray symbols and trailing rubbish."""
     out = plain_dashes(c) if dashes else c
-    for pattern, by in ((r"[_|~^]+", " "), (r"[<>{}\\]+", ""), (r"\s+[=*#%&$@]+(?=\s|$)", " "), (r"[=~_-]{3,}.*$", "")):
-        out = F.regexp_replace(out, pattern, by)
+    out = apply_rules(out, MARKS)
     return normal_space(out)
 
 
 def artefacts(c: Column) -> Column:
     """Repairs of letters that recognition appends to words or confuses."""
-    out = c
-    for pattern, by in (
-        (r"(?<=\p{L}{2})[qT{%€£)(]+(?=\s|$)", ""),
-        (r"(?<=\p{L}{4})f+(?=\s|$)", ""),
-        (r"(?<=\p{L}{2})fl(?=\s|$)", ""),
-        (r"(?:^|\s)[>„<»«]+(?=\p{L})", " "),
-        (r"(\d+\.)>", "$1 "),
-        ("ﬂ", "fl"),
-        ("ﬁ", "fi"),
-        (r"(?<=\p{L})\.1(?=\s|$)", "!"),
-        (r"(?<=\p{L})1(?=\s|$)", ""),
-        ("[–—]", "-"),
-        (r"\s+[§®¤•◦·]+\s+", " "),
-        (" {2,}", " "),
-    ):
-        out = F.regexp_replace(out, pattern, by)
+    out = apply_rules(c, ARTEFACTS)
     return F.regexp_replace(out, r"(?U)\s+$", "")
 
 

@@ -10,6 +10,11 @@ from ..functions import sections as S
 from ..functions.text import count, digits, letters, stripped, symbols
 from .sequence import explode_lines
 
+#: Characters that no song text holds, those of staves, and runs that only rubbish has.  Fixed values.
+WEIRD = r"[^\p{L}\p{Nd}\s\[\](){}:;,.!?\"'`+\-*/#&%|=°♭♯]"
+RULES = "[=_|—–]"
+RUNS = r"[=_]{3,}|[-–—]{6,}|\|{4,}|\\{3,}|/{3,}|\*{4,}"
+
 
 def line_profile(lines: DataFrame) -> DataFrame:
     """Counts of letters, digits, capitals, symbols and tokens of each line."""
@@ -103,8 +108,8 @@ def notation_ratios(documents: DataFrame, lines: int = 80, tokens: int = 600) ->
     sample = first.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("s"))
     s = F.col("s")
     total, n = count(s, r"\S"), letters(s)
-    score = count(s, "[=_|—–]")
-    weird = count(s, r"[^\p{L}\p{Nd}\s\[\](){}:;,.!?\"'`+\-*/#&%|=°♭♯]")
+    score = count(s, RULES)
+    weird = count(s, WEIRD)
     parts = F.slice(F.filter(F.split(s, r"\s+"), lambda t: t != ""), F.lit(1), F.lit(tokens))
     bare = F.transform(parts, lambda t: F.regexp_replace(t, "^[\\[\\](){},.;:\"'`]+|[\\[\\](){},.;:\"'`]+$", ""))
 
@@ -113,7 +118,7 @@ def notation_ratios(documents: DataFrame, lines: int = 80, tokens: int = 600) ->
         return (t == "") | t.rlike("[=_¥]") | ((letters(t) == 0) & (digits(t) == 0)) | ((marks >= 2) & (marks >= F.floor(F.length(t) / 2))) | ((F.length(t) <= 2) & ~F.lower(t).isin(*L.SHORT_WORDS))
 
     junk_share = F.size(F.filter(bare, junk)) / F.greatest(F.size(bare), F.lit(1))
-    runs = s.rlike(r"[=_]{3,}|[-–—]{6,}|\|{4,}|\\{3,}|/{3,}|\*{4,}")
+    runs = s.rlike(RUNS)
     out = sample.select("doc_id", (n / total).alias("letter_ratio"), (weird / total).alias("weird_ratio"), (score / total).alias("score_ratio"), junk_share.alias("junk_ratio"), runs.alias("runs"))
     a, b, c, d = (F.col(x) for x in ("letter_ratio", "weird_ratio", "score_ratio", "junk_ratio"))
     notation = (b > 0.45) | ((c > 0.15) & ((a < 0.70) | (b > 0.15))) | ((d > 0.35) & (F.col("runs") | (c > 0.10) | (b > 0.25))) | (F.col("runs") & ((a < 0.55) | (b > 0.25)))
