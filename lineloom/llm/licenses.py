@@ -150,17 +150,17 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def as_files(documents: DataFrame) -> DataFrame:
-    """Documents as files of a tree: source, language, shelf, name; one in ten is named as a licence file, one of these a level up."""
+    """Documents as files of a tree: source, language, shelf, name; one in ten is named as a licence file, one in five of these a level up.  Rows of one id, source and language are one file."""
     shelf = F.concat(F.lit("shelf"), F.pmod("doc_id", F.lit(20)).cast("string"))
     folder = F.when(F.pmod("doc_id", F.lit(50)) == 0, F.concat_ws("/", "source", "lang")).otherwise(F.concat_ws("/", "source", "lang", shelf))
-    name = F.concat(F.when(F.pmod("doc_id", F.lit(10)) == 0, F.lit("LICENSE.")).otherwise(F.lit("d.")), F.col("doc_id").cast("string"))
+    name = F.concat(F.when(F.pmod("doc_id", F.lit(10)) == 0, F.lit("LICENSE.")).otherwise(F.lit("d.")), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     return documents.select(F.concat_ws("/", folder, name).alias("path"), "text")
 
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:
     """The licence of every document, its own or inherited; see :func:`as_files` for the paths."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scan(as_files(documents)).select(F.regexp_extract("path", r"\.(\d+)$", 1).cast("long").alias("doc_id"), "path", "licence", "similarity", "origin", "origin_dir")
+    return scan(as_files(documents)).select(F.regexp_extract("path", r"\.([^./]+)$", 1).try_cast("long").alias("doc_id"), "path", "licence", "similarity", "origin", "origin_dir")
 
 
 def _sql() -> str:

@@ -360,6 +360,13 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_documents_as_files(spark, tmp_path):
+    rows = [(50, "Released under the MIT License.", "en", "s"), (51, "x", "en", "s"), (-3, None, "en", "s"), (None, "x", None, "s"), (7, "x", "de", None), (10, "Licensed under CC BY-NC 4.0.", "en", "s"), (30, "", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["licence"], r["origin"], r["origin_dir"]) for r in licenses.op3_licenses(spark, str(tmp_path)).collect()}
+    assert got == {50: ("MIT", "own", None), 51: ("MIT", "inherited", "s/en"), -3: ("MIT", "inherited", "s/en"), None: (None, "none", None), 7: (None, "none", None), 10: ("CC-BY-NC-4.0", "own", None), 30: ("CC-BY-NC-4.0", "inherited", "s/en/shelf10")}
+
+
 def test_every_template_is_found(spark):
     rows = [(f"{name}.{k}", f"intro\n{t}\nend") for name, ts in licenses.TEMPLATES.items() for k, t in enumerate(ts)]
     got = {r["path"]: r["licence"] for r in licenses.own_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
