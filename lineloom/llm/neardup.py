@@ -34,18 +34,23 @@ PAIRWISE = 256
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """The 64 bits of one whole text."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The hashes of a whole text's shingles, in their order; of fewer words, of all of them."""
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return np.array([], np.uint64)
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())), np.uint64)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())), np.uint64)
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """The 64 bits of one whole text."""
+    hashes = shingle_hashes(text, width)
     n, counts = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 8192):
         counts += np.unpackbits(hashes[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
@@ -207,11 +212,16 @@ def one_of_each(documents: DataFrame, bits: int = BITS, width: int = SHINGLE) ->
 
     keyed = documents.withColumn("__h", text_hash)
     rows = checkpointed(keyed.select(F.col("doc_id").cast("long"), "text", "__h").mapInArrow(run, "doc_id long, h long, fp long"))
-    chosen = rows.join(checkpointed(classes(rows, bits)), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__first"))
+    return kept_rows(keyed, rows.join(checkpointed(classes(rows, bits)), "fp").select("doc_id", "h", "root")).select(*schema)
+
+
+def kept_rows(keyed: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` (with ``doc_id`` and a hash ``__h``) that are first of their root in ``placed(doc_id, h, root)``."""
+    chosen = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__first"))
     out = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["__id"]) & (keyed["__h"] == chosen["__first"]), "left_semi")
-    if not rows.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
+    if not placed.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "__h"])
-    return out.select(*schema)
+    return out
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
