@@ -135,9 +135,7 @@ def notation_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
   lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, 0 AS line_no FROM d), {TRIMMED}
 SELECT doc_id, count(*) FILTER (WHERE {CONTENT}) = 0 OR coalesce(sum(length(line)) FILTER (WHERE {CONTENT}), 0) < 20 OR coalesce(sum(length(line)) FILTER (WHERE {CONTENT}), 0) / greatest(count(*) FILTER (WHERE {CONTENT}), 1) < 3.0 AS empty FROM t GROUP BY doc_id""")
 def effectively_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    text = F.when(F.col("doc_id") % 3 == 0, F.substring(F.col("text"), F.lit(1), (F.col("doc_id") % 40).cast("int"))).otherwise(F.col("text"))
-    return scoring.is_effectively_empty(d.select("doc_id", text.alias("text")))
+    return scoring.is_effectively_empty(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query(f"SELECT doc_id, {key('text')} AS key FROM documents")
