@@ -2,8 +2,8 @@
 
 DataFrame operations only.  Units are the lines of each file and, for files named like a licence,
 the whole text.  Words are runs of a-z, 0-9 and dots between them, lower-cased.  A word weighs
-``tf * (ln((N + 1) / (df + 1)) + 1)``, ``df`` counted over all files; words of no template stand in
-the norm of a unit with df 0, each occurrence by itself.  A unit's licence is that of its most
+``tf * (ln((N + 1) / (df + 1)) + 1)``, ``df`` counted over all files, also for the words of no
+template, which stand in the norm of a unit.  A unit's licence is that of its most
 similar template, if the cosine reaches THRESHOLD; ties go to the smaller name.
 
 Only units that hold an anchor word are compared: a template's anchors are its heaviest words, so
@@ -88,23 +88,20 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD, templates: dict
     vocabulary = sorted({w for texts in templates.values() for t in texts for w in _template_words(t)})
     n, df = document_frequency(files, vocabulary)
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in vocabulary}
-    unseen = math.log(n + 1) + 1
     weights = template_weights(idf, templates)
     pattern = "(?:^|[^a-z0-9])(?:" + "|".join(w.replace(".", r"\.") for w in anchors(weights, threshold)) + ")(?:[^a-z0-9]|$)"
     text = F.coalesce("text", F.lit(""))
     whole = F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE)
     lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(pattern))
     units = files.filter(F.lower(text).rlike(pattern)).select("path", F.posexplode(F.concat(lines, F.when(whole, F.array(text)).otherwise(F.array()))).alias("unit", "line"), F.monotonically_increasing_id().alias("row"))
-    # One row a word of a unit: its count and its weight, by a map of the bounded vocabulary.
-    weight_of = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(idf[w]))])
-    words = words_of(F.col("line"))
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    unit = units.select("path", "row", "unit", words.alias("words")).filter(F.size("words") > 0)
-    unit = unit.withColumn("tf", F.transform(F.array_intersect("words", known), lambda w: F.struct(w.alias("w"), F.size(F.filter("words", lambda x: x == w)).cast("double").alias("n"))))
-    unit = unit.withColumn("in", F.transform("tf", lambda t: F.struct(t["w"].alias("w"), (t["n"] * weight_of[t["w"]]).alias("v"))))
-    other = F.size("words") - F.aggregate("tf", F.lit(0.0), lambda acc, t: acc + t["n"])
-    norm = F.sqrt(F.aggregate("in", F.lit(0.0), lambda acc, t: acc + t["v"] * t["v"]) + other * F.lit(unseen * unseen))
-    scored = unit.select("path", "row", "unit", norm.alias("norm"), F.explode("in").alias("t")).select("path", "row", "unit", "norm", F.col("t.w").alias("w"), F.col("t.v").alias("v"))
+    unit = units.select("path", "row", "unit", words_of(F.col("line")).alias("words")).filter(F.size("words") > 0)
+    # One row a word of a unit, weighed by the files that hold it, of templates or not.
+    held = files.select(F.explode(F.array_distinct(words_of(text))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    counted = unit.select("path", "row", "unit", F.explode("words").alias("w")).groupBy("path", "row", "unit", "w").agg(F.count(F.lit(1)).alias("n"))
+    weighed = counted.join(held, "w").select("path", "row", "unit", "w", (F.col("n") * (F.log(F.lit(float(n + 1)) / (F.col("df") + 1)) + 1)).alias("v"))
+    inside = F.collect_list(F.when(F.col("w").isin(vocabulary), F.struct("w", "v"))).alias("in")
+    scored = weighed.groupBy("path", "row", "unit").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), inside)
+    scored = scored.select("path", "row", "unit", "norm", F.explode("in").alias("t")).select("path", "row", "unit", "norm", F.col("t.w").alias("w"), F.col("t.v").alias("v"))
     # As many rows as the templates have words.
     table = spark.createDataFrame(weights, "licence string, template int, w string, weight double")
     cosine = scored.join(F.broadcast(table), "w").groupBy("path", "row", "unit", "licence", "template").agg((F.sum(F.col("v") * F.col("weight")) / F.max("norm")).alias("cosine"))
