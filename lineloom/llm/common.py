@@ -35,12 +35,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> str:
+    """Where in the shared checkpoint folder ``df`` was written, as Parquet."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/lineloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared checkpoint folder and read back with its schema."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/lineloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(store(df))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that :func:`store` wrote, when nothing reads it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,10 @@ tightly.  A segment tree over remaining capacities finds that window in a logari
 steps.  Every task packs the documents of its own partition: it holds a few numbers a document, not
 the ids, and no document is moved.  A window's id is the partition's number and a count.
 
-A null or empty text is its end id alone.  Repeated ids and texts are packed row by row.
+A null or empty text is its end id alone.  Repeated ids and texts are packed row by row; very long
+texts become full windows and a rest; columns other than id and text are not looked at, so their
+names do not matter.  An empty table has no piece.  Special tokens written in a text are what the
+tokenizer makes of them.
 """
 
 from __future__ import annotations
@@ -54,7 +57,6 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.pieces: dict[str, bytes] = {}
 
