@@ -4,25 +4,36 @@ A record's shard is the one whose score ``-weight / ln(u)`` is largest, ``u`` in
 of key and shard number.  Key and shards alone decide, so one more shard takes records only into
 itself, as many as its share of the weights.
 
-Null keys hash like any other value.  Rows that are equal in every column asked for are counted
-first and dealt out again after their positions are known, so no count of repeats makes a hot task.
+Positions: each task counts its rows by shard while it writes them, and a table of these counts, one
+row a task and shard, tells where each task begins.  No row is moved for it and no order is needed,
+so any number of equal rows, null keys or null texts makes no hot task.
+
+Null keys hash like any other value; null and empty texts have size 1; texts are never cut.  Repeated
+rows each get a position.  An empty table gives no rows.  Further columns stay as they are, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from .common import column, fresh, stored
 
 SHARDS = 8
-#: Buckets of a shard within which rows are numbered; positions start at the sum of the buckets before.
-BUCKETS = 256
+#: Most rows of the table of starts that are broadcast (24 bytes each); larger ones are joined by shuffle.
+STARTS = 200_000
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
-    """The shard (int, from 0) of ``key`` among ``len(weights)`` shards."""
+    """The shard (int, from 0) of ``key`` among ``len(weights)`` shards; equal scores go to the smaller number."""
     if not weights or any(not w > 0 or math.isinf(w) for w in weights):
         raise ValueError("weights must be positive")
 
@@ -40,34 +51,41 @@ def shard(df: DataFrame, key: str, weights: Sequence[float], name: str = "shard"
     return df.withColumn(name, rendezvous(F.col(key), weights))
 
 
-def with_slots(df: DataFrame, shard_col: str, order: Sequence[str], name: str = "slot") -> DataFrame:
-    """The columns ``shard_col`` and ``order`` of ``df`` with each row's position in its shard, gapless from 0.
+def with_slots(df: DataFrame, shard_col: str, name: str = "slot") -> DataFrame:
+    """``df`` with each row's position in its shard, gapless from 0, in column ``name`` (replacing one of that name).
 
-    Rows are numbered in buckets by a hash of ``order``; a table of BUCKETS counts a shard gives
-    where each bucket starts.  The order of positions means nothing.
+    The rows are written once, numbered within task and shard; the order of positions means nothing.
     """
-    rows = df.groupBy(shard_col, *order).agg(F.count(F.lit(1)).alias("__n")).withColumn("__bucket", F.pmod(F.xxhash64(F.lit("slot"), *order), F.lit(BUCKETS)).cast("int"))
-    counts = rows.groupBy(shard_col, "__bucket").agg(F.sum("__n").alias("__rows"))
-    before = Window.partitionBy(shard_col).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(shard_col, "__bucket", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy(shard_col, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = rows.withColumn("__before", F.coalesce(F.sum("__n").over(within), F.lit(0)))
-    # BUCKETS rows a shard: the number of shards bounds this side.
-    placed = numbered.join(F.broadcast(starts), [shard_col, "__bucket"])
-    return placed.select(shard_col, *order, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("__i"), (F.col("__start") + F.col("__before")).alias("__at")).select(
-        shard_col, *order, (F.col("__at") + F.col("__i")).alias(name)
-    )
+    df = df.drop(name)
+    task, place = fresh(df, "__task"), fresh(df, "__place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, seen = TaskContext.get().partitionId(), {}
+        for b in batches:
+            shards, at = np.asarray(column(b, shard_col)), np.zeros(b.num_rows, np.int64)
+            for s in np.unique(shards).tolist():
+                mine = shards == s
+                n = int(mine.sum())
+                at[mine] = seen.get(s, 0) + np.arange(n)
+                seen[s] = seen.get(s, 0) + n
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, number, np.int32)), pa.array(at)], [*b.schema.names, task, place])
+
+    rows = stored(df.mapInArrow(run, StructType([*df.schema.fields, StructField(task, IntegerType()), StructField(place, LongType())])))
+    count, start = fresh(df, "__count"), fresh(df, "__start")
+    before = Window.partitionBy(shard_col).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(shard_col, task).agg(F.count(F.lit(1)).alias(count)).select(shard_col, task, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(start))
+    if starts.count() <= STARTS:
+        starts = F.broadcast(starts)
+    return rows.join(starts, [shard_col, task]).select(*df.columns, (F.col(start) + F.col(place)).alias(name))
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7 of equal weight by their id, and their shard were there one more."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
-        "doc_id",
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("doc_id").cast("long"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("key").alias("law"),
     )
-    rows = shard(documents, "doc_id", [1.0] * SHARDS)
-    placed = with_slots(rows, "shard", ["doc_id", "size", "text_crc32"])
-    return shard(placed, "doc_id", [1.0] * (SHARDS + 1), "grown_shard").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
-
-
+    rows = shard(shard(rows, "doc_id", [1.0] * SHARDS), "doc_id", [1.0] * (SHARDS + 1), "grown_shard")
+    return with_slots(rows, "shard").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
