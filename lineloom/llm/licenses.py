@@ -1,7 +1,7 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-DataFrame operations only.  Units are the lines of each file and, for files named like a licence,
-the whole text.  Words are runs of a-z, 0-9 and dots between them, lower-cased.  A word weighs
+DataFrame operations only.  Units are the lines of each file, its header (what stands before the first
+empty line) and, for files named like a licence, the whole text.  Words are runs of a-z, 0-9 and dots between them, lower-cased.  A word weighs
 ``tf * (ln((N + 1) / (df + 1)) + 1)``, ``df`` counted over all files, also for the words of no
 template, which stand in the norm of a unit.  A unit's licence is that of its most
 similar template, if the cosine reaches THRESHOLD; ties go to the smaller name.
@@ -12,7 +12,8 @@ many that the others alone cannot reach THRESHOLD, so no match is lost.
 A file without a licence of its own inherits that of the nearest directory above it which holds a
 licence file with one (of several files the most similar, then the smaller path).  Directories, not
 files, are resolved.  Null texts are empty; files without a path stay without a directory; repeated
-paths are one file, whose units are those of all its rows.
+paths are one file, whose units are those of all its rows.  Very long texts count whole; an empty table
+gives no rows; further columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,19 +25,28 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 THRESHOLD = 0.6
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
 #: Public notices by SPDX id.  Fixed values.
-TEMPLATES = {
+NOTICES = {
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License."],
     "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version."],
+    "LGPL-3.0": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."],
+    "MIT": ["Released under the MIT License.", "This file is licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
+#: What is compared: the notices, and of each licence the line that names it by its id.
+TEMPLATES = {name: [*texts, f"SPDX-License-Identifier: {name}"] for name, texts in NOTICES.items()}
 _WORD = r"[a-z0-9]+(?:\.+[a-z0-9]+)*"
 
 
@@ -74,29 +84,28 @@ def anchors(weights: list[tuple[str, int, str, float]], threshold: float) -> lis
     return sorted(out)
 
 
-def document_frequency(files: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
-    """The number of files and, of each word of ``vocabulary``, of files that hold it."""
-    held = F.array_intersect(words_of(F.coalesce("text", F.lit(""))), F.array(*[F.lit(w) for w in vocabulary]))
-    rows = files.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("w")).groupBy("w").count().collect()
-    got = {r["w"]: r["count"] for r in rows}
-    return got.pop("", 0), got
+def document_frequency(files: DataFrame) -> DataFrame:
+    """``(w, df)``: of every word, the number of rows that hold it; written once."""
+    words = F.array_distinct(words_of(F.coalesce("text", F.lit(""))))
+    return checkpointed(files.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")))
 
 
 def own_licences(files: DataFrame, threshold: float = THRESHOLD, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """``(path, licence, similarity)`` of the files of ``files(path, text)`` that carry a licence themselves."""
     spark, templates = files.sparkSession, templates or TEMPLATES
     vocabulary = sorted({w for texts in templates.values() for t in texts for w in _template_words(t)})
-    n, df = document_frequency(files, vocabulary)
+    n, held = files.count(), document_frequency(files)
+    # As many rows as the templates have words.
+    df = {r["w"]: r["df"] for r in held.filter(F.col("w").isin(vocabulary)).collect()}
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in vocabulary}
     weights = template_weights(idf, templates)
     pattern = "(?:^|[^a-z0-9])(?:" + "|".join(w.replace(".", r"\.") for w in anchors(weights, threshold)) + ")(?:[^a-z0-9]|$)"
     text = F.coalesce("text", F.lit(""))
     whole = F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE)
-    lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(pattern))
+    lines = F.filter(F.concat(F.split(text, "\n"), F.array(F.substring_index(text, "\n\n", 1))), lambda x: F.lower(x).rlike(pattern))
     units = files.filter(F.lower(text).rlike(pattern)).select("path", F.posexplode(F.concat(lines, F.when(whole, F.array(text)).otherwise(F.array()))).alias("unit", "line"), F.monotonically_increasing_id().alias("row"))
     unit = units.select("path", "row", "unit", words_of(F.col("line")).alias("words")).filter(F.size("words") > 0)
     # One row a word of a unit, weighed by the files that hold it, of templates or not.
-    held = files.select(F.explode(F.array_distinct(words_of(text))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     counted = unit.select("path", "row", "unit", F.explode("words").alias("w")).groupBy("path", "row", "unit", "w").agg(F.count(F.lit(1)).alias("n"))
     weighed = counted.join(held, "w").select("path", "row", "unit", "w", (F.col("n") * (F.log(F.lit(float(n + 1)) / (F.col("df") + 1)) + 1)).alias("v"))
     inside = F.collect_list(F.when(F.col("w").isin(vocabulary), F.struct("w", "v"))).alias("in")
@@ -106,17 +115,8 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD, templates: dict
     table = spark.createDataFrame(weights, "licence string, template int, w string, weight double")
     cosine = scored.join(F.broadcast(table), "w").groupBy("path", "row", "unit", "licence", "template").agg((F.sum(F.col("v") * F.col("weight")) / F.max("norm")).alias("cosine"))
     similar = F.round("cosine", 6)
-    best = cosine.filter(similar >= threshold).groupBy("path").agg(F.max(F.struct(similar.alias("similarity"), _descending("licence").alias("order"), F.col("licence"))).alias("b"))
-    return best.select("path", F.col("b.licence").alias("licence"), F.col("b.similarity").alias("similarity"))
-
-
-def _descending(name: str) -> Column:
-    """A number that is larger for smaller names of TEMPLATES; other names by their first hash bits."""
-    order = {n: -i for i, n in enumerate(sorted(TEMPLATES))}
-    chain = F.lit(-len(order) - 1)
-    for n, i in order.items():
-        chain = F.when(F.col(name) == n, F.lit(i)).otherwise(chain)
-    return chain
+    best = cosine.filter(similar >= threshold).groupBy("path").agg(F.min(F.struct((-similar).alias("apart"), "licence")).alias("b"))
+    return best.select("path", F.col("b.licence").alias("licence"), (-F.col("b.apart")).alias("similarity"))
 
 
 def directory(path: Column) -> Column:
@@ -143,7 +143,8 @@ def inherit(files: DataFrame, own: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The licence of every distinct path of ``files(path, text)``."""
-    return inherit(files, own_licences(files, threshold))
+    # Cut off: it is used twice, and making it reads every text.
+    return inherit(files, checkpointed(own_licences(files, threshold)))
 
 
 def as_files(documents: DataFrame) -> DataFrame:
@@ -161,20 +162,21 @@ def op3_licenses(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The query in DuckDB's SQL: every line and licence file compared with every template that shares a word."""
+    """The query in DuckDB's SQL: every line and licence file compared with every template that shares a word, all words weighed by their document frequency."""
     rows = ", ".join("('" + "', '".join((n, str(k), t.replace("'", "''"))) + "')" for n, ts in sorted(TEMPLATES.items()) for k, t in enumerate(ts))
     words = "unnest(regexp_extract_all(lower({}), '" + _WORD + "'))"
     return f"""WITH files AS (SELECT doc_id, text, CASE WHEN doc_id % 50 = 0 THEN source || '/' || lang ELSE source || '/' || lang || '/shelf' || (doc_id % 20) END AS dir,
     CASE WHEN doc_id % 10 = 0 THEN 'LICENSE.' ELSE 'd.' END || doc_id AS name FROM documents),
   tpl(licence, template, text) AS (VALUES {rows}), tw AS (SELECT licence, template, {words.format("text")} AS w FROM tpl), vocab AS (SELECT DISTINCT w FROM tw),
   held AS (SELECT doc_id, {words.format("text")} AS w FROM files), total AS (SELECT count(*) AS n FROM files),
-  df AS (SELECT w, count(DISTINCT doc_id) AS df FROM held SEMI JOIN vocab USING (w) GROUP BY w),
-  idf AS (SELECT w, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM vocab LEFT JOIN df USING (w), total),
+  df AS (SELECT w, count(DISTINCT doc_id) AS df FROM held GROUP BY w),
+  idf AS (SELECT w, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT w FROM df UNION SELECT w FROM vocab) LEFT JOIN df USING (w), total),
   raw AS (SELECT licence, template, w, count(*) * any_value(idf) AS v FROM tw JOIN idf USING (w) GROUP BY licence, template, w),
   weights AS (SELECT licence, template, w, v / sqrt(sum(v * v) OVER (PARTITION BY licence, template)) AS weight FROM raw),
-  units AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS unit, unnest(string_split(text, chr(10))) AS line FROM files UNION ALL SELECT doc_id, 0, text FROM files WHERE doc_id % 10 = 0),
+  units AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS unit, unnest(string_split(text, chr(10))) AS line FROM files
+    UNION ALL SELECT doc_id, 0, text FROM files WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id, -1, string_split(text, chr(10) || chr(10))[1] FROM files),
   uw AS (SELECT doc_id, unit, {words.format("line")} AS w FROM units), tf AS (SELECT doc_id, unit, w, count(*) AS tf FROM uw GROUP BY ALL),
-  v AS (SELECT doc_id, unit, w, tf * idf AS v, CASE WHEN idf IS NULL THEN tf * pow(ln(n + 1) + 1, 2) ELSE pow(tf * idf, 2) END AS part FROM tf LEFT JOIN idf USING (w), total),
+  v AS (SELECT doc_id, unit, w, tf * idf AS v, pow(tf * idf, 2) AS part FROM tf JOIN idf USING (w)),
   norms AS (SELECT doc_id, unit, sqrt(sum(part)) AS norm FROM v GROUP BY ALL),
   cosine AS (SELECT doc_id, unit, licence, template, sum(v.v * weight) AS dot FROM v JOIN weights USING (w) GROUP BY ALL),
   own AS (SELECT doc_id, licence, round(dot / norm, 6) AS similarity FROM cosine JOIN norms USING (doc_id, unit) WHERE round(dot / norm, 6) >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(dot / norm, 6) DESC, licence) = 1),
