@@ -7,11 +7,15 @@ far the search may jump, a bucket of suffix hashes names the patterns that may e
 jump, and a direct comparison confirms.  The text of a slice is searched in many lanes at a time,
 each with a position of its own.
 
-The benchmark is the stated query set: it is sent to the executors in blocks of bounded size, and
-documents pass the blocks one after another, carrying what was found so far.
-
-Null or empty texts have no words; a benchmark item without words is no pattern.  Repeated item ids
-count once, repeated document ids are separate rows.
+The benchmark is the stated query set, taken in blocks of bounded size.  The driver holds one block
+at a time: for each but the last, the texts with hits are found and written to the shared folder,
+under two hashes of the text; the last block's pass carries the rows and is joined with what the
+others found.  So the plan does not grow with the benchmark, and texts are never moved.
+
+Null or empty texts have no words, and of very long ones every word counts.  A benchmark item without
+words or without an id is no pattern.  Repeated item ids count once, repeated document ids are separate
+rows.  Without documents there are no rows, without items no hits.  Further columns, whatever their
+names, do not matter.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from .common import column, slices
+from .common import column, fresh, slices, stored
 
 WINDOW = 8
 MIN_ITEMS = 2
@@ -167,37 +171,106 @@ def merged(x: bytes, y: bytes) -> bytes:
     return np.bitwise_or(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).tobytes()
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, carry: Sequence[str], window: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
-    """The columns ``carry`` of ``documents`` with ``__n_words``, ``__hits`` (hit words as packed bits, empty if none), ``__n_hit`` and ``__items`` (sorted ids) added."""
-    spark = documents.sparkSession
-    found_names = ["__n_words", "__hits", "__n_hit", "__items"]
-    blocks = list(blocks_of(benchmark, limit))
-    out = documents.select(*dict.fromkeys([*carry, "text"]))
-    for k, block in enumerate(blocks):
-        names = [n for n in out.columns if n not in found_names and (n in carry or k + 1 < len(blocks))]
-        kind = StructType([out.schema[n] for n in names]).add("__n_words", "long").add("__hits", "binary").add("__n_hit", "long").add("__items", ArrayType(StringType()))
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, names=names, first=k == 0) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(shared.value, window)
-            for b in slices(batches, "text"):
-                found = matcher.search(column(b, "text").to_pylist())
-                bits, items = [np.packbits(h).tobytes() if i else b"" for _, h, i in found], [i for _, _, i in found]
-                if not first:
-                    bits = [merged(x, y) for x, y in zip(bits, column(b, "__hits").to_pylist(), strict=True)]
-                    items = [i.union(j) for i, j in zip(items, column(b, "__items").to_pylist(), strict=True)]
-                more = [pa.array([n for n, _, _ in found], pa.int64()), pa.array(bits, pa.binary()), pa.array([int.from_bytes(x, "big").bit_count() for x in bits], pa.int64()), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([column(b, n) for n in names] + more, names + found_names)
-
-        out = out.mapInArrow(run, kind)
+FOUND = StructType().add("n_words", "long").add("hits", "binary").add("n_hit", "long").add("items", ArrayType(StringType()))
+#: What an earlier block found in a text.
+PART = "h1 long, h2 long, hits binary, items array<string>"
+
+
+def _searched(b: pa.RecordBatch, matcher: Matcher) -> tuple[list[int], list[bytes], list[set[str]]]:
+    found = matcher.search(column(b, "text").to_pylist())
+    return [n for n, _, _ in found], [np.packbits(h).tobytes() if i else b"" for _, h, i in found], [i for _, _, i in found]
+
+
+def _found(n_words: Sequence[int], bits: Sequence[bytes], items: Sequence[set[str]]) -> pa.Array:
+    columns = [pa.array(n_words, pa.int64()), pa.array(bits, pa.binary()), pa.array([int.from_bytes(x, "big").bit_count() for x in bits], pa.int64()), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
+    return pa.StructArray.from_arrays(columns, FOUND.names)
+
+
+def earlier(documents: DataFrame, block, window: int) -> DataFrame:
+    """What ``block`` finds in the texts of ``documents``: rows of PART, stored, of texts with hits only."""
+    shared = documents.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matcher(shared.value, window)
+        for b in slices(batches, "text"):
+            _, bits, items = _searched(b, matcher)
+            hit = [k for k, i in enumerate(items) if i]
+            if hit:
+                at = pa.array(hit)
+                yield pa.RecordBatch.from_arrays([column(b, "h1").take(at), column(b, "h2").take(at), pa.array([bits[k] for k in hit], pa.binary()), pa.array([sorted(items[k]) for k in hit], pa.list_(pa.string()))], ["h1", "h2", "hits", "items"])
+
+    keyed = documents.filter("text is not null").select("text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("again"), "text").alias("h2"))
+    # Copies of a text give equal rows.
+    out = stored(keyed.mapInArrow(run, PART).groupBy("h1", "h2").agg(F.first("hits").alias("hits"), F.first("items").alias("items")))
+    shared.destroy()
     return out
 
 
+def scan(documents: DataFrame, benchmark: DataFrame, carry: Sequence[str], window: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
+    """The columns ``carry`` of ``documents`` and, last, a struct of FOUND.
+
+    It holds the number of words, the hit words as packed bits (empty if none), their number, and the
+    items found, sorted.  Its column is called ``found``, with underscores if that is taken.
+    """
+    before, block = [], None
+    for following in blocks_of(benchmark, limit):
+        if block is not None:
+            before.append(earlier(documents.select("text"), block, window))
+        block = following
+    shared = documents.sparkSession.sparkContext.broadcast(block)
+    name = fresh(documents, "found")
+    text = F.col("text")
+    kept = [n for n in documents.columns if n in set(carry)]
+    rows = documents.select(*kept, *([] if "text" in kept else ["text"]))
+    h1, h2 = fresh(rows, "__h1"), fresh(rows, "__h2")
+    if before:
+        rows = rows.withColumn(h1, F.xxhash64(text)).withColumn(h2, F.xxhash64(F.lit("again"), text))
+    names = [n for n in rows.columns if n != "text" or "text" in kept]
+    kind = StructType([rows.schema[n] for n in names]).add(name, FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matcher(shared.value, window)
+        for b in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([*[column(b, n) for n in names], _found(*_searched(b, matcher))], [*names, name])
+
+    out = rows.mapInArrow(run, kind)
+    if not before:
+        return out.select(*carry, name)
+    known = before[0]
+    for k in before[1:]:
+        known = known.unionByName(k)
+    # One row a text, with as many parts as there are blocks at most.
+    more = fresh(out, "__more")
+    known = known.groupBy("h1", "h2").agg(F.collect_list(F.struct("hits", "items")).alias(more))
+    out = out.join(known, (out[h1] == known["h1"]) & (out[h2] == known["h2"]), "left").select(*carry, name, more)
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n_words, bits, items = [], [], []
+            for f, parts in zip(column(b, name).to_pylist(), column(b, more).to_pylist(), strict=True):
+                x, found = f["hits"], set(f["items"])
+                for p in parts or ():
+                    x = merged(x, p["hits"])
+                    found.update(p["items"])
+                n_words.append(f["n_words"])
+                bits.append(x)
+                items.append(found)
+            yield pa.RecordBatch.from_arrays([*[column(b, n) for n in carry], _found(n_words, bits, items)], [*carry, name])
+
+    return out.mapInArrow(unite, StructType([out.schema[n] for n in carry]).add(name, FOUND))
+
+
 def report(documents: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` of every row."""
-    found = scan(documents, benchmark, ["doc_id"])
-    n_items = F.size("__items").cast("long")
-    return found.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), n_items.alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), (n_items >= min_items).alias("contaminated"))
+    found = scan(documents.select("doc_id", "text"), benchmark, ["doc_id"])
+    n_items = F.size("found.items").cast("long")
+    return found.select("doc_id", "found.n_words", "found.n_hit", n_items.alias("n_items"), F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (n_items >= min_items).alias("contaminated"))
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``documents``, all columns, without any window of a benchmark item."""
+    found = scan(documents, benchmark, documents.columns, window)
+    return found.filter(F.size(F.col(found.columns[-1])["items"]) == 0).select(*documents.columns)
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
