@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, slices
 
 ROLES = {"system": ("[SYS]", "[/SYS]"), "user": ("[INST]", "[/INST]"), "assistant": ("[ANS]", "[/ANS]")}
 _CONTROL = r"(?=/?(?:s>|(?:INST|SYS|ANS)\]|TURN[ \]]|(?:IMG|AUDIO|DOC) \d))"
@@ -113,7 +113,7 @@ def formatted(turns: DataFrame) -> DataFrame:
             row[4] += "</s>"
             return row
 
-        for batch in batches:
+        for batch in slices(batches, "parts"):
             out = []
             for conv, role, parts in zip(*(column(batch, c).to_pylist() for c in ("conv_id", "role", "parts")), strict=True):
                 if pending is None or conv != now:
@@ -167,7 +167,7 @@ def read_back(pieces: DataFrame) -> DataFrame:
             n, turns, chars, loss, size = state
             done.append((now, n, turns.hexdigest(), chars, loss.hexdigest(), size))
 
-        for batch in batches:
+        for batch in slices(batches, "piece"):
             for conv, n, start, piece, a, b in zip(*(column(batch, c).to_pylist() for c in ("conv_id", "n", "start", "piece", "loss_start", "loss_end")), strict=True):
                 if state is None or conv != now or n == 0:
                     if state is not None:

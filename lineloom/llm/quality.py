@@ -6,8 +6,10 @@ kept apart by fold; the driver adds those sums (their size depends on the number
 solves the ridge once for all rows and once without each fold, and the scores of rows by the model
 that has not seen them are the input of the isotonic calibration.
 
-Nulls, empty texts: scored like a text without words.  Repeated ids: scored row by row.  Without
-labels, or with one class only, every score is that class' share (0.5 without any label).
+Nulls, empty texts: scored like a text without words; very long texts count whole.  Repeated ids:
+scored row by row, and one row for fitting (that of the smallest text).  Without labels, or with one
+class only, every score is that class' share (0.5 without any label).  An empty table gives no rows;
+further columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -162,7 +164,7 @@ def _summed(rows: DataFrame, size: int, add) -> np.ndarray:
 def fit(documents: DataFrame, labels: DataFrame, keep: Column, bound: int = FIT_ROWS) -> Model:
     """A model of ``labels.quality`` over at most about ``bound`` labelled rows for which ``keep`` holds."""
     y = labelled(labels, "quality", keep, bound).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int"))
-    texts = documents.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("text", "label", "fold")
+    texts = documents.select("doc_id", "text").join(F.broadcast(y), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"), F.max("fold").alias("fold")).select("text", "label", "fold")
     # At most FIT_ROWS rows of 32 numbers: a few tasks hold them, whatever the size of the input.
     rows = checkpointed(texts.mapInArrow(_statistics_of(), "label int, fold int, stats array<double>")).coalesce(8)
 
