@@ -74,16 +74,40 @@ def test_long_posting_lists():
             x = up[x]
         return x
 
-    for a, b in neardup.list_links(low[:800], 2):
+    assert len(list(neardup.short_lists(low[:800].view(np.uint64), np.arange(800), [255, 255 << 8, 255 << 40], 2))) > 100
+    for a, b in neardup.list_links(low[:800], 2, (0, 1, 5)):
         assert (a ^ b).bit_count() <= 2
         up[root(a)] = root(b)
     assert {frozenset(g) for g in groups} == {frozenset(x for x in up if root(x) == r) for r in {root(x) for x in up}}
 
 
+def test_the_count_filter_decides():
+    # Any two bytes that differ are left out by one choice, and no choice leaves out most bytes.
+    left_out = neardup.choices(2)
+    assert all(any({a, b} <= set(c) for c in left_out) for a in range(8) for b in range(8)) and {len(c) for c in left_out} == {3}
+    # Of pairs that meet in a list, some fall short of the tally and some of the verification.
+    a, three, two_bytes, near = 0, 0x010101, 0x0303, 0x0101
+    u = np.array([a, three, two_bytes, near], np.uint64)
+    x = u[0] ^ u
+    shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1)
+    assert shared.tolist() == [8, 5, 6, 6]
+    i, j = neardup.tallied(u, 2)
+    assert set(zip(i.tolist(), j.tolist())) == {(0, 3), (1, 3), (2, 3)}
+
+
+def test_hot_fingerprint(spark):
+    # Nine rows in ten are one text; the neighbourhood of another is crowded.
+    values = [5] * 900 + [0xFF00 ^ (1 << k) for k in range(50)] + [0xFF00]
+    df = spark.createDataFrame(list(enumerate(values)), "doc_id long, fp long")
+    got = {r["fp"]: r["component_id"] for r in neardup.classes(df).collect()}
+    assert len(got) == 52 and got[5] == 0 and {c for f, c in got.items() if f != 5} == {900}
+
+
 def test_one_of_each(spark, corpus):
     df = documents(spark, [*corpus, corpus[0]], [*range(len(corpus)), 0])
     kept = neardup.one_of_each(df)
     assert kept.columns == df.columns
+    assert neardup.one_of_each(df.withColumn("__h", F.lit("mine"))).filter("__h <> 'mine'").count() == 0
     rows = kept.collect()
     fps = {i: brute.fingerprint(t) for i, t in enumerate(corpus)}
     assert sorted(r["doc_id"] for r in rows) == sorted(min(g) for g in brute.components(fps))
@@ -102,15 +126,49 @@ def test_wu_manber(spark):
     assert got == brute.hits(texts, items)
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute.hits(texts, items)
-    for limit in (decontaminate.BLOCK_BYTES, 300):
-        rows = decontaminate.scan(documents(spark, texts), bench, ["doc_id"], limit=limit).collect()
-        assert {r["doc_id"]: (r["__n_words"], r["__n_hit"], len(r["__items"])) for r in rows} == {i: w[:3] for i, w in enumerate(want)}
+    plans = []
+    for limit in (decontaminate.BLOCK_BYTES, 300, 100):
+        out = decontaminate.scan(documents(spark, [*texts, texts[-1]], [*range(len(texts)), 0]).withColumnRenamed("h", "found"), bench, ["doc_id", "found"], limit=limit)
+        assert out.columns == ["doc_id", "found", "found_"]
+        plans.append(out._jdf.queryExecution().analyzed().toString().count("MapInArrow"))
+        rows = [(r["doc_id"], (r["found_"]["n_words"], r["found_"]["n_hit"], len(r["found_"]["items"]), decontaminate_digest(r["found_"]["items"]))) for r in out.collect()]
+        assert sorted(rows) == sorted([*((i, w[:4]) for i, w in enumerate(want)), (0, want[-1][:4])])
+        if limit == 300:
+            kept = decontaminate.clean(documents(spark, texts), bench)
+            assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, w in enumerate(want) if w[2] == 0]
+    assert plans == [1, 2, 2]
     rows = decontaminate.report(documents(spark, texts), bench).collect()
     assert {r[0]: tuple(r[1:]) for r in rows} == dict(enumerate(want))
     assert decontaminate.report(documents(spark, texts), bench.limit(0)).filter("n_hit > 0").count() == 0
     assert decontaminate.report(documents(spark, texts).limit(0), bench).count() == 0
 
 
+def test_one_block_at_a_time(spark, monkeypatch):
+    held, most, real = set(), [], decontaminate.blocks_of
+
+    class Block(tuple):
+        def __del__(self):
+            held.discard(id(self))
+
+        def __reduce__(self):
+            return tuple, (tuple(list(self)),)
+
+    def blocks(benchmark, limit):
+        for b in real(benchmark, limit):
+            block = Block(b)
+            held.add(id(block))
+            most.append(len(held))
+            yield block
+            del block
+
+    monkeypatch.setattr(decontaminate, "blocks_of", blocks)
+    rng = random.Random(13)
+    bench = spark.createDataFrame([(i, prose(rng, 20)) for i in range(40)], "item_id long, text string")
+    decontaminate.scan(documents(spark, [prose(rng, 50)]), bench, ["doc_id"], limit=200).collect()
+    # The one that is searched and the one that is read.
+    assert len(most) > 5 and max(most) <= 3
+
+
 def decontaminate_digest(items):
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
@@ -122,9 +180,9 @@ def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary_path())
-    t.encode_special_tokens = True
-    texts = [*corpus, "Straße's don't it's,' <|endoftext|> á ΑΣ ΣΑΣ. İstanbul x² \x0b\x1c y"]
+    texts = [*corpus, "<|endoftext|>", "a<|endoftext|>b <|startoftext|>", "Straße's don't it's,' <|endoftext|> á ΑΣ ΣΑΣ. İstanbul x² \x0b\x1c y"]
     ids = [t.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
+    assert ids[len(corpus)] == [49407, 1]
     rows = packing.pack(documents(spark, texts), vocabulary_path(), with_ids=True).collect()
     seen, windows = Counter(), {}
     for r in rows:
@@ -176,11 +234,15 @@ def test_sharding(spark):
     assert len(counts) == 8 and min(counts.values()) > 400
     heavy = Counter(r["shard"] for r in sharding.shard(df.filter("doc_id is not null"), "doc_id", [3.0, 1.0]).collect())
     assert 2.5 < heavy[0] / heavy[1] < 3.6
-    slots = sharding.with_slots(now, "shard", ["doc_id"]).collect()
+    # One key, null here, may hold most rows; columns may have any name.
+    hot = now.unionByName(now.filter("doc_id is null").crossJoin(spark.range(20)).select("doc_id", "shard")).withColumn("__place", F.lit(1)).withColumn("__start", F.lit("x"))
+    slots = sharding.with_slots(hot.repartition(5), "shard")
+    assert slots.columns == ["doc_id", "shard", "__place", "__start", "slot"]
+    slots = slots.collect()
     for s in range(8):
         mine = sorted(r["slot"] for r in slots if r["shard"] == s)
         assert mine == list(range(len(mine)))
-    assert len(slots) == 4500 and sharding.with_slots(now.limit(0), "shard", ["doc_id"]).count() == 0
+    assert len(slots) == 14500 and sharding.with_slots(now.limit(0), "shard").count() == 0
 
 
 # classifiers ------------------------------------------------------------------------------------
@@ -242,14 +304,53 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score_documents(df, toxicity.fit(df, labels.limit(0), F.lit(True))).collect()} == {0.5}
 
 
-def test_label_model():
+def test_label_model_learns_from_votes_alone():
     rng = np.random.default_rng(8)
-    y = rng.random(4000) < 0.2
-    good = [(rng.random(4000) < np.where(y, 0.7, 0.02)) for _ in range(4)]
-    copy = [good[0]] * 3
-    noise = [rng.random(4000) < 0.1]
-    p, right, weight = toxicity.label_model(np.array([*good, *copy, *noise]).T.astype(float), y.astype(float))
-    assert ((p > 0.5) == y).mean() > 0.97 and abs(right[1] - 0.897) < 0.04 and abs(right[7] - 0.2) < 0.06 and weight[0] < 0.35 and weight[7] > 0.9
+    y = rng.random(6000) < 0.2
+    good = [rng.random(6000) < np.where(y, 0.5, 0.01) for _ in range(5)]
+    noise = [rng.random(6000) < 0.04 for _ in range(3)]
+    copy = [noise[0], noise[0]]
+    votes = np.array([*good, *noise, *copy]).T.astype(np.uint8)
+    model = toxicity.label_model(votes, 0.2)
+    p, accuracy = model.posterior(votes), model.accuracy(votes)
+    real = np.array([y[v > 0].mean() for v in votes.T])
+    assert accuracy[:5].min() > accuracy[5:].max() + 0.2 and abs(accuracy[:5] - real[:5]).mean() < 0.15
+    # Three voters that are one are tied to each other, and only one of them adds evidence.
+    tied = [j for j in (5, 8, 9) if model.parent[j] in (5, 8, 9)]
+    assert len(tied) == 2 and model.evidence[1, tied].max() < 0.1
+    fired, majority = votes.any(1), votes.sum(1) > 0
+    assert ((p > 0.5) == y)[fired].mean() > (majority == y)[fired].mean() + 0.1
+    assert (p[~fired] < 0.2).all()
+
+
+def test_many_documents_of_one_id(spark):
+    rng = random.Random(14)
+    texts = [prose(rng, 30) + (" grobian" if i % 4 == 0 else "") for i in range(200)]
+    df = documents(spark, [*texts, *[f"{t} x{k}" for k in range(30) for t in texts]], [*range(200), *[0] * 6000])
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)] + [(0, 1, 1)] * 50, "doc_id long, quality int, toxic int")
+    assert toxicity.training_rows(df, labels, F.lit(True), 1000).count() <= 200
+    model = toxicity.fit(df, labels, F.lit(True))
+    assert "grobian" in model.terms and toxicity.score_documents(df, model).count() == 6200
+    assert quality.score_documents(df, quality.fit(df, labels, F.lit(True))).count() == 6200
+
+
+def test_quality_against_plain_equations(spark):
+    rng = random.Random(15)
+    texts = [junk(rng) if i % 3 == 0 else prose(rng, rng.randint(5, 200)) for i in range(240)] + ["x" * 50_000]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0 or i % 30 == 0), 0) for i in range(241)], "doc_id long, quality int, toxic int")
+    df = documents(spark, texts)
+    model = quality.fit(df, labels, F.lit(True))
+    stats = np.array([quality.statistics(t) for t in texts])
+    y = np.array([float(i % 3 > 0 or i % 30 == 0) for i in range(241)])
+    sd = stats.std(0)
+    phi = quality.lift(stats, stats.mean(0), np.where(sd > 1e-9, sd, 1.0))
+    ridge = quality.RIDGE * np.eye(phi.shape[1])
+    ridge[0, 0] = 1e-6
+    raw = phi @ np.linalg.solve(phi.T @ phi + ridge, phi.T @ y)
+    got = {r["doc_id"]: r["score"] for r in quality.score_documents(df, model).collect()}
+    want = np.clip(np.interp(raw, model.knots, model.values), 0, 1)
+    assert np.abs(np.array([got[i] for i in range(241)]) - want).max() < 1e-6
+    assert (np.diff(model.values) >= 0).all()
 
 
 # secrets ----------------------------------------------------------------------------------------
@@ -264,24 +365,38 @@ def test_secrets(spark):
     for t in texts:
         assert secrets.base_spans(t) == brute.secrets(t)
     df = documents(spark, texts)
-    automata = secrets.fit(df)
-    rows = {r["doc_id"]: r for r in secrets.report(df, automata).collect()}
+    model = secrets.fit(df)
+    rows = {r["doc_id"]: r for r in secrets.report(df, model).collect()}
     for i, t in enumerate(texts):
         base = brute.secrets(t)
         assert rows[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
         assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(rows[i]["spans"].split(","))
         assert rows[i]["n_hex"] == sum(k == "hex" for k, _, _ in base)
     assert "learned" in rows[len(texts) - 2]["spans"] and rows[len(texts) - 1]["spans"] == ""
-    out = {r["doc_id"]: r["text"] for r in secrets.redact(df, automata).collect()}
+    assert all(len(r["likelihoods"]) == r["spans"].count("learned") and min(r["likelihoods"], default=99) > secrets.PRIOR for r in rows.values())
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(df, model).collect()}
     assert out[0] is None and out[1] == "" and hexes[3] not in out[13] and "[secret]" in out[13]
-    assert secrets.report(df.limit(0), automata).count() == 0
+    assert secrets.report(df.limit(0), model).count() == 0
+    twice = secrets.report(documents(spark, [texts[13]] * 2, [4, 4]), model).collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+    long = secrets.report(documents(spark, ["a.b" * 20_000 + " " + texts[-2]]), model).first()
+    assert long["spans"] == f"learned:60001:{60001 + 40}"
+    assert secrets.fit(df.limit(0)).learned(texts[-2])
 
 
 def test_automaton():
     rng = random.Random(10)
     m = secrets.Automaton(["key-" + "".join(rng.choices("0123456789", k=12)) for _ in range(200)])
-    assert m.accepts("key-987654321098") and not m.accepts("key-98765432109x") and not m.accepts("kez-987654321098")
-    assert len(m.seen) < 40
+    spelt = [t for t in ("key-987654321098", "key-98765432109x", "kez-987654321098", "key-98765432109", "key-9876543210987") if m.likelihood(t) > -np.inf]
+    assert spelt == ["key-987654321098"]
+    assert m.states == 17 and m.shortest == 16 and m.beginning == "key-"
+    # The likelihoods of all tokens that a small automaton spells add up to one.
+    small = secrets.Automaton([a + b for a in "01" for b in "ab" for _ in range(20)])
+    total = sum(np.exp(small.likelihood(a + b)) for a in string.printable for b in string.printable)
+    assert abs(total - 1) < 1e-6
+    # Two forms of unequal futures stay apart.
+    two = secrets.Automaton(["a" + "".join(rng.choices("0123456789", k=6)) for _ in range(100)] + ["g" + "".join(rng.choices("ABCDEF", k=6)) for _ in range(100)])
+    assert two.likelihood("a123456") > -30 and two.likelihood("aABCDEF") < two.likelihood("gABCDEF") - 10
 
 
 # chat -------------------------------------------------------------------------------------------
@@ -341,6 +456,13 @@ def test_search(spark):
         if q == 100:
             assert [f[1] for f in found] == list(range(500, 510))
     assert right / (10 * len(got)) >= 0.95
+    # Query blocks do not change the answer, nor let the plan grow.
+    cut = search.nearest(df, F.col("vec_id") % 100 == 0, query_block=7)
+    assert "MapInArrow" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    again = {}
+    for r in cut.collect():
+        again.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert {q: sorted(f) for q, f in again.items()} == got
     few = search.nearest(df.filter("vec_id < 4"), F.col("vec_id") == 0).collect()
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3]
     assert search.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
@@ -360,6 +482,19 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_ties_go_to_the_smaller_name(spark):
+    df = spark.createDataFrame([("x.py", "free to all who ask")], "path string, text string")
+    for names in (("AAA", "ZZZ"), ("ZZZ", "AAA")):
+        assert licenses.own_licences(df, templates={n: ["Free to all who ask."] for n in names}).first()["licence"] == "AAA"
+
+
+def test_headers_and_one_hot_directory(spark):
+    apache = "# Licensed under the Apache License, Version 2.0\n# (the License); you may not use this file except in\n# compliance with the License.\n\ncode"
+    rows = [("hot/LICENSE", "SPDX-License-Identifier: ISC"), ("h.py", apache), *((f"hot/{i}.py", "x") for i in range(900))]
+    got = {r["path"]: (r["licence"], r["origin"]) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["h.py"] == ("Apache-2.0", "own") and got["hot/LICENSE"] == ("ISC", "own") and {got[f"hot/{i}.py"] for i in range(900)} == {("ISC", "inherited")}
+
+
 def test_documents_as_files(spark, tmp_path):
     rows = [(50, "Released under the MIT License.", "en", "s"), (51, "x", "en", "s"), (-3, None, "en", "s"), (None, "x", None, "s"), (7, "x", "de", None), (10, "Licensed under CC BY-NC 4.0.", "en", "s"), (30, "", "en", "s")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))

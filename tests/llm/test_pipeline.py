@@ -39,9 +39,9 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
         stage = spark.read.parquet(str(tmp_path / name))
         kept[name] = {r["doc_id"]: r for r in stage.collect()}
     assert kept["decontamination"].keys() == left.keys() == kept["secrets"].keys()
-    automata = secrets.fit(spark.read.parquet(str(tmp_path / "decontamination")))
+    found = secrets.fit(spark.read.parquet(str(tmp_path / "decontamination")))
     for i, r in kept["secrets"].items():
-        base, every = secrets.spans(left[i], automata)
+        base, every, _ = secrets.spans(left[i], found)
         assert base == brute.secrets(left[i])
         assert r["text"] == (left[i] and secrets.redacted(left[i], every)) and r["n_chars"] == len(r["text"] or "")
         assert every or r["text"] == left[i]
