@@ -7,7 +7,7 @@ solves the ridge once for all rows and once without each fold, and the scores of
 that has not seen them are the input of the isotonic calibration.
 
 Nulls, empty texts: scored like a text without words; very long texts count whole.  Repeated ids:
-scored row by row, and one row for fitting (that of the smallest text).  Without labels, or with one
+scored row by row, and one row for fitting (that of the smallest hash of its text).  Without labels, or with one
 class only, every score is that class' share (0.5 without any label).  An empty table gives no rows;
 further columns do not matter, whatever their names.
 """
@@ -122,7 +122,7 @@ def _statistics_of():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             stats = [statistics(t) for t in column(b, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([column(b, "label").cast(pa.int32()), column(b, "fold").cast(pa.int32()), pa.array(stats, pa.list_(pa.float64()))], ["label", "fold", "stats"])
+            yield pa.RecordBatch.from_arrays([*[column(b, c) for c in ("doc_id", "label", "fold", "h")], pa.array(stats, pa.list_(pa.float64()))], ["doc_id", "label", "fold", "h", "stats"])
 
     return run
 
@@ -164,9 +164,11 @@ def _summed(rows: DataFrame, size: int, add) -> np.ndarray:
 def fit(documents: DataFrame, labels: DataFrame, keep: Column, bound: int = FIT_ROWS) -> Model:
     """A model of ``labels.quality`` over at most about ``bound`` labelled rows for which ``keep`` holds."""
     y = labelled(labels, "quality", keep, bound).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int"))
-    texts = documents.select("doc_id", "text").join(F.broadcast(y), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"), F.max("fold").alias("fold")).select("text", "label", "fold")
+    texts = documents.select("doc_id", "text").join(F.broadcast(y), "doc_id").select(F.col("doc_id").cast("long"), "text", "label", "fold", F.xxhash64("text").alias("h"))
+    rows = texts.mapInArrow(_statistics_of(), "doc_id long, label int, fold int, h long, stats array<double>")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("h", "label", "fold", "stats")).alias("r")).select("r.label", "r.fold", "r.stats")
     # At most FIT_ROWS rows of 32 numbers: a few tasks hold them, whatever the size of the input.
-    rows = checkpointed(texts.mapInArrow(_statistics_of(), "label int, fold int, stats array<double>")).coalesce(8)
+    rows = checkpointed(one).coalesce(8)
 
     def moments(b):
         s, y = _matrix(b), np.asarray(column(b, "label"))
