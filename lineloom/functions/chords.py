@@ -19,7 +19,7 @@ GRAMMAR = {
     "any_sus": rf"{_ROOT}{_ACC}{_QUALITY}\d*(?:sus[24])?{_BASS}",
     "any": rf"{_ROOT}{_ACC}{_QUALITY}\d*{_BASS}",
     "sharp": f"{_ROOT}[#b]?{_QUALITY}{_EXT}(?:/{_ROOT}[#b]?)?",
-    "loose": f"{_ROOT}[0-9/+#b]*",
+    "loose": "[A-H](?:#|b)?(?:m|maj|min|sus|add|dim|aug)?[0-9/+#b]*(?:/[A-H](?:#|b)?)?",
 }
 BRACKETED = r"\[[A-GH][#b♯♭]?(?:m|M|maj|min|dim|aug)?(?:add|sus)?(?:[0-9]{1,2})?(?:/[A-GH][#b♯♭]?)?\]"
 #: Misread chord tokens and what they mean, in order.  Fixed values.
@@ -106,8 +106,8 @@ def is_chord_only(line: Column, variant: str = "sus") -> Column:
 
 
 def is_mostly_chords(line: Column, least: int = 2, share: float = 0.6) -> Column:
-    """Tolerant form; six or more chords that are nearly all single letters do not count."""
-    t = cleaned_tokens(line)
+    """Tolerant form: split tokens are merged first; six or more chords that are nearly all single letters do not count."""
+    t = F.filter(F.transform(merge_split(text.tokens(line)), clean), lambda t: t != "")
     n, m = F.size(F.filter(t, lambda x: is_chord(x))), F.size(t)
     single = F.size(F.filter(t, lambda x: is_chord(x) & (F.length(x) == 1)))
     return (n >= least) & (n >= m * share) & ~((n >= 6) & (single >= n * 0.85))
@@ -158,6 +158,11 @@ def render(chords: Column, joint: str = " ") -> Column:
     return F.array_join(F.transform(chords, lambda c: F.concat(F.lit("["), c, F.lit("]"))), joint)
 
 
+def render_line(chords: Column) -> Column:
+    """A line of chords alone: bracketed, with rules after them that keep them apart from the text."""
+    return F.concat(render(chords), F.lit(" ----"))
+
+
 def even_placement(chords: Column, words: Column) -> Column:
     """``array<struct<chord, at>>``: the word each chord goes to, spread evenly, halves to even."""
     c, w = F.size(chords), F.size(words)

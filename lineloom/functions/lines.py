@@ -12,7 +12,10 @@ from .text import count, digits, is_blank, letters, stripped, symbols, tokens, u
 GARBAGE = r"[=~|&%$#@!;?\\\"'`<>(){}]"
 NOTE_GLYPHS = "[œŒ˙Óˆ‰∑∏˘˜Ω]"
 VERSE = r"^\s*(?:\[[^\]]+\])?\s*(?:\d+|[lI])\s*[.)]"
+#: Words of a credit line besides names.  Fixed values.
+CREDIT = ("und", "and", "copyright", "rights")
 SHORT_WORDS = ("a", "an", "am", "im", "in", "to", "of", "my", "we", "me", "du", "ich", "der", "die", "das", "und", "ist", "ein", "eine")
+#: Words of credits at the end of a document; a choice of this engine.
 FOOTER = r"(?i)\b(?:text|melodie|satz|musik|worte|autor|urheber|copyright|rechte|ccli)\b|©"
 
 
@@ -68,8 +71,10 @@ def is_verse_number(line: Column, misread: bool = True) -> Column:
 
 
 def is_lyric_start(line: Column, least: int = 12) -> Column:
-    """A numbered line of six letters, or a lyric line without digits of ``least`` letters."""
-    return (is_verse_number(line) & (letters(line) >= 6)) | ((digits(line) == 0) & is_lyric(line) & (letters(line) >= least))
+    """A numbered line of six letters, or a lyric line without digits of ``least`` letters; credits and fragments never are."""
+    s = stripped(line)
+    starts = F.when(s.rlike(r"^\d+\s*[.)]"), letters(s) >= 6).otherwise((digits(s) == 0) & is_lyric(s) & (letters(s) >= least))
+    return (s != "") & ~is_footer_credit(s) & ~is_fragmented(s) & starts
 
 
 def is_processed_lyric(line: Column) -> Column:
@@ -82,8 +87,23 @@ def is_body_garbage(line: Column) -> Column:
 
 
 def is_note_noise(line: Column) -> Column:
-    """Noise, unless the line is a lyric of some length or chords."""
-    return (is_staff_noise(line) | is_short_tokens(line)) & ~(is_lyric(line) & (letters(line) >= 20)) & ~chords.is_mostly_chords(line)
+    """Noise of notation; the first rule that fits decides, lyrics and chords are exempt from the last."""
+    s = stripped(line)
+    n, d, t = letters(s), digits(s), tokens(s)
+    noise = count(s, r"[_|=~^\[\]{}\\/*\u201c\u201d\u2019\u2018]")
+    ratio = share(n, F.length(s))
+    single = F.size(F.filter(t, lambda x: F.length(x) == 1))
+    found = F.size(F.filter(t, lambda x: chords.is_chord(chords.clean(x))))
+    return (
+        F.when(s == "", True)
+        .when((n <= 2) & (noise >= 4), True)
+        .when((ratio < 0.20) & (noise >= 6), True)
+        .when(is_staff_noise(s) | is_short_tokens(s), True)
+        .when((F.size(t) >= 6) & (single >= F.size(t) * 0.7) & (n <= 4), True)
+        .when((n >= 8) & (ratio > 0.35), False)
+        .when(found >= 2, False)
+        .otherwise((F.length(s) < 20) & ((noise >= 3) | (d >= 4)) & (n <= 3))
+    )
 
 
 def is_chord_noise(line: Column, light: bool = False) -> Column:
@@ -105,9 +125,12 @@ def is_fragmented(line: Column) -> Column:
     return ((n >= 4) & (short >= n * 0.6) & ((digit >= 1) | (lone >= 2))) | ((digit >= 2) & (short >= 2)) | ((marks >= 2) & (short >= 3))
 
 
-def is_footer_credit(line: Column) -> Column:
-    t = tokens(line)
-    return F.length(line).between(8, 80) & (digits(line) == 0) & line.rlike(FOOTER) & F.size(t).between(2, 6) & F.forall(t, lambda x: x.rlike(r"\p{L}"))
+def is_footer_credit(line: Column, names: tuple[str, ...] = ()) -> Column:
+    """Two to six words without digits, one of them of CREDIT or ``names``."""
+    s = stripped(line)
+    t = tokens(s)
+    word = r"(?iU)\b(?:" + "|".join([*CREDIT, *names]) + r")\b"
+    return F.length(s).between(8, 80) & (digits(s) == 0) & s.rlike(word) & F.size(t).between(2, 6) & F.forall(t, lambda x: x.rlike(r"\p{L}"))
 
 
 def is_lowercase_lead(line: Column) -> Column:
@@ -121,9 +144,17 @@ def is_noisy_lead(line: Column) -> Column:
 
 
 def is_mostly_noise(line: Column) -> Column:
-    n, noise = letters(line), count(line, r"[=~_|^*#<>]")
-    weird = symbols(line, r".,;:!?'\"()-")
-    return ((n == 0) & ~stripped(line).rlike(r"^\d+$")) | line.rlike("[♩♪♫♬𝄞]") | ((share(n, F.length(line)) < 0.20) & (noise >= 2)) | (weird >= 6)
+    """Blank, without letters unless it is a number, or marks of notation and recognition outnumber them."""
+    s = F.coalesce(line, F.lit(""))
+    n = letters(s)
+    weird = count(s, "[\ufffd™—_|]")
+    heavy = count(s, r"[|_—–…\[\]{}\\/*]+")
+    return (
+        F.when(is_blank(s), True)
+        .when(n == 0, ~s.rlike(r"(?U)^[\p{Nd}\s]*$"))
+        .when((n <= 2) & (count(s, r"[_|=~^*]") >= 4), True)
+        .otherwise(((share(n, F.length(s)) < 0.20) & (weird + heavy >= 2)) | (weird >= 6))
+    )
 
 
 def is_structure_comment(line: Column) -> Column:
@@ -165,10 +196,20 @@ def is_fragmented_words(line: Column) -> Column:
     return (all_tokens >= 5) & (words >= 4) & (((tiny >= 4) & (tiny >= F.ceil(words * 0.35))) | (upper >= 2) | (bursts >= 2))
 
 
-def is_region_noise(value: Column, score: Column, least: float = 0.5) -> Column:
-    """Recognised regions to discard: low score, nothing but marks, or a short scrap with weird characters."""
-    n = letters(value) + digits(value)
-    return (score < least) | (n == 0) | ((F.length(stripped(value)) <= 2) & (symbols(value) > 0)) | (symbols(value) > n)
+def is_region_noise(value: Column, score: Column, width: Column, height: Column, least: float = 0.5) -> Column:
+    """Recognised regions to discard: empty, tiny, low scores with digits or scraps, digits alone, or weird characters."""
+    s = F.coalesce(value, F.lit(""))
+    n, d, t = letters(s), digits(s), tokens(s)
+    short = F.size(F.filter(t, lambda x: F.length(x) <= 2))
+    return (
+        (F.length(s) == 0)
+        | (width < 4)
+        | (height < 4)
+        | ((score < max(least + 0.08, 0.55)) & (n <= 2) & (d > 0))
+        | ((score < 0.55) & (F.size(t) >= 3) & (short >= F.size(t) * 0.75))
+        | ((n == 0) & (d > 0))
+        | ((symbols(s, r"\-/()") >= 4) & (n <= 3))
+    )
 
 
 def is_title_candidate(line: Column, name: Column) -> Column:

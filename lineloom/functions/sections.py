@@ -9,8 +9,22 @@ from .similarity import edit_similarity
 from .text import at, digits, letters, phrase_key, stripped, symbols, uppers
 
 #: Header keys and section names that documents may use.  Fixed values.
-HEADER_KEYS = ("title", "subtitle", "artist", "composer", "lyricist", "arranger", "copyright", "ccli", "key", "capo", "tempo", "time", "duration", "year", "album", "publisher", "rights", "author", "source", "theme")
-SECTIONS = ("chorus", "verse", "bridge", "intro", "outro", "outtro", "interlude", "grid", "tag", "ending", "coda", "solo", "instrumental", "refrain", "pre_chorus", "post_chorus")
+HEADER_KEYS = (
+    "title", "sorttitle", "subtitle", "artist", "composer", "lyricist", "copyright", "rights", "album",
+    "year", "key", "time", "tempo", "duration", "capo", "meta", "author", "ccli", "book", "number",
+    "flow", "midi", "midi_index", "pitch", "keywords", "topic", "comment", "restrictions",
+    "ccli_license", "footer", "notes", "original_key", "original_capo", "transposedkey", "in",
+    "subdivision", "beat", "transpose", "scene",
+)
+SECTIONS = (
+    "chorus", "verse", "bridge", "grid", "part", "define", "tap", "comment", "start_of_chorus", "end_of_chorus",
+    "start_of_verse", "start_of_bridge", "start_of_tab", "start_of_grid", "end_of_verse", "end_of_bridge",
+    "end_of_tab", "end_of_grid", "start_of_part", "end_of_part", "comment_bold", "comment_italic",
+    "guitar_comment", "new_page", "new_physical_page", "intro", "outtro", "refrain", "vers", "strophe",
+    "coda", "ending", "interlude", "zwischenspiel", "pre_chorus", "pre_refrain", "post_chorus",
+    "post_refrain", "misc", "pre_bridge", "pre_coda", "post_bridge", "poat_coda", "teil", "unbekannt",
+    "unbenannt", "instrumental", "chor", "solo", "tag",
+)
 KEY_ALIASES = {"text": "lyricist", "melodie": "composer", "rechte": "rights", "urheber": "copyright", "autor": "author"}
 SECTION_ALIASES = {"refrain": "Chorus", "refr": "Chorus", "ref": "Chorus", "chorus": "Chorus", "strophe": "Vers", "verse": "Vers", "vers": "Vers", "zwischenspiel": "Interlude", "interlude": "Interlude", "bridge": "Bridge", "intro": "Intro", "outro": "Outro"}
 
@@ -23,24 +37,29 @@ def normal_label(c: Column) -> Column:
     return F.regexp_replace(F.lower(stripped(c)), r"\s+", "_")
 
 
+#: Labels at the start of a line, in order: pattern and section; of a verse the first group is its number.  Fixed values.
+LABELS = [
+    (r"(?i)^(?:refrain|refr\.?|chorus)\s*[:.]?\s*", "chorus"),
+    (r"(?i)^bridge\s*[:.]?\s*", "bridge"),
+    (r"(?i)^(?:verse|vers)\s*(\d+)\s*[:.]?\s*", "verse"),
+    (r"^(\d+)[.)]\s*", "verse"),
+]
+
+
 def parse_label(line: Column) -> Column:
-    """``struct<section, rest>`` or null: named sections, numbered verses, ``word:`` of the vocabulary."""
+    """``struct<section, rest>`` or null: what recognition leaves of a refrain, the LABELS in order, then ``word:`` or ``word.`` of SECTIONS."""
     s = stripped(line)
-    rest = F.regexp_extract(s, r"(?i)^[\p{L}_-]+\s*\d*\s*[:.)]?\s*(.*)$", 1)
-    number = F.regexp_extract(s, r"(?i)^(?:vers|verse|strophe)\s*(\d+)", 1)
-    bare = F.regexp_extract(s, r"^(\d+)\s*[.)]", 1)
-    word = normal_label(F.regexp_extract(s, r"^([\p{L}][\p{L} -]*?)\s*:", 1))
 
     def out(section: Column, remains: Column) -> Column:
-        return F.struct(section.alias("section"), F.trim(remains).alias("rest"))
+        return F.struct(section.alias("section"), stripped(remains).alias("rest"))
 
-    return (
-        F.when(F.lower(s).startswith("ain") | s.rlike(r"(?i)^(?:chorus|refr(?:ain)?|ref)\b"), out(F.lit("chorus"), F.when(F.lower(s).startswith("ain"), F.substring(s, 4, 1 << 20)).otherwise(rest)))
-        .when(s.rlike(r"(?i)^bridge\b"), out(F.lit("bridge"), rest))
-        .when(number != "", out(F.concat(F.lit("verse "), number), rest))
-        .when(bare != "", out(F.concat(F.lit("verse "), bare), F.regexp_extract(s, r"^\d+\s*[.)]\s*(.*)$", 1)))
-        .when(word.isin(*SECTIONS), out(word, F.regexp_extract(s, r"^[^:]*:\s*(.*)$", 1)))
-    )
+    found = F.when(F.lower(s).startswith("ain"), out(F.lit("chorus"), F.regexp_replace(F.substring(s, 4, 1 << 20), "^[ :.-]+", "")))
+    for pattern, section in LABELS:
+        name = F.concat(F.lit("verse "), F.regexp_extract(s, pattern, 1)) if section == "verse" else F.lit(section)
+        found = found.when(s.rlike(pattern), out(name, F.regexp_replace(s, pattern, "")))
+    word = r"(?s)^([A-Za-zÄÖÜäöüß_]+)\s*[:.]\s*(.*)$"
+    label = normal_label(F.regexp_extract(s, word, 1))
+    return found.when(label.isin(*SECTIONS), out(label, F.regexp_extract(s, word, 2)))
 
 
 def prefix_section(line: Column, most: int = 0) -> Column:
@@ -77,8 +96,10 @@ def verse_prefix(line: Column) -> Column:
 
 
 def single_word_label(line: Column) -> Column:
-    word = normal_label(F.regexp_replace(stripped(line), r"[:.]+$", ""))
-    return F.when(~stripped(line).rlike(r"\s") & word.isin(*SECTIONS), word)
+    """The section that a line of one word names, whatever marks stand around its letters."""
+    s = stripped(line)
+    word = normal_label(F.regexp_replace(s, "[^a-zA-ZäöüÄÖÜß]", ""))
+    return F.when(~s.rlike(r"\s") & word.isin(*SECTIONS), word)
 
 
 def section_type(name: Column) -> Column:
@@ -96,8 +117,8 @@ def format_comment(section: Column, label: Column | None = None) -> Column:
 
 def header_line(line: Column) -> Column:
     """``struct<key, value>`` of ``Key: value`` with a known key or alias, else null."""
-    key = F.lower(stripped(F.regexp_extract(line, r"^([^:]{2,30}):", 1)))
-    name = F.coalesce(at(_map(KEY_ALIASES), key), F.when(key.isin(*HEADER_KEYS), key))
+    key = normal_label(F.regexp_extract(line, r"^\s*([^:]+):", 1))
+    name = F.coalesce(F.when(key.isin(*HEADER_KEYS), key), at(_map(KEY_ALIASES), key))
     value = stripped(F.regexp_extract(line, r"^[^:]*:(.*)$", 1))
     return F.when(name.isNotNull() & (value != ""), F.struct(name.alias("key"), value.alias("value")))
 

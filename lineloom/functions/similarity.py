@@ -37,5 +37,7 @@ def word_jaccard(a: Column, b: Column, least: int = 3) -> Column:
 
 def near_duplicate(a: Column, b: Column, least: int = 8, similar: float = 0.74) -> Column:
     """Equal, or both of ``least`` characters and similar or one within the other."""
-    long = (F.length(a) >= least) & (F.length(b) >= least)
-    return (a == b) | (long & (contains_either(a, b) | (edit_similarity(a, b) >= similar)))
+    short, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    # The distance is at least the difference in length, so most pairs need none.
+    close = (short >= longer * similar - 1e-9) & (1.0 - F.levenshtein(a, b) / longer >= similar)
+    return (a == b) | ((short >= least) & (contains_either(a, b) | close))

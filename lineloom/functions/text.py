@@ -24,8 +24,41 @@ ARTEFACTS = [
     (r"\s+[§®¤•◦·]+\s+", " "),
     (" {2,}", " "),
 ]
-#: Marks that general clean-up removes, in order.  Fixed values.
-MARKS = [(r"[_|~^]+", " "), (r"[<>{}\\]+", ""), (r"\s+[=*#%&$@]+(?=\s|$)", " "), (r"[=~_-]{3,}.*$", "")]
+#: Widths of characters in shares of a usual one.  Fixed values.
+WIDTHS = [
+    (r"[ilI|]", 0.55),
+    (r"[mwMW]", 1.35),
+    (r"[-/\\]", 0.65),
+    (r"[.,:;!]", 0.45),
+    (r"[()\[\]]", 0.6),
+    (r"[\p{Lu}&&[^IMW]]", 1.1),
+    (r"[^ilI|mwMW/\\.,:;!()\[\]\p{Lu}-]", 1.0),
+]
+#: Repairs of extracted text, in order: of a text layer, and of scanned pages.  Fixed values.
+REPAIR_TEXT = [
+    (r"(\p{L})\s*-\s*(\p{L})", "$1$2"),
+    ("[\u2011\u00ad]", ""),
+    (r"\s{2,}", " "),
+    (r"\s+([,.;:!?])", "$1"),
+    (r"\s+['`´]{1,3}\s+", " "),
+]
+REPAIR_SCAN = [
+    ("[–—]", "-"),
+    ("_", ""),
+    (r"[|\[\]]", " "),
+    ("[§®¤•◦·…ﬂ\u201c\u201d\u2019\u2018]", " "),
+    (r"(?<=\p{L}{2})[qT{%€)(]+(?=\s|$)", ""),
+    (r"(?<=\p{L}{4})f+(?=\s|$)", ""),
+    (r"(?<=\p{L}{2})fl(?=\s|$)", ""),
+    ("(?:^|\\s)[>„<»«]+(?=\\p{L})", " "),
+    (r"(\d+\.)>", "$1 "),
+    (r"(?<=\p{L})\s*-\s*(?=\p{L})", ""),
+    (r"\s+[\\/]{1,3}\s+", " "),
+    (r"\s+['`´]{1,3}\s+", " "),
+    ("~", " "),
+    (r"\^", ""),
+    (r"\s+[0OoIl]\s+", " "),
+]
 
 
 def at(c: Column | str, i: Column | int) -> Column:
@@ -123,11 +156,15 @@ def file_name(c: Column) -> Column:
     return F.regexp_replace(c, r'[<>:"/\\|?*\x00-\x1f]', "_")
 
 
-def repair(c: Column, dashes: bool = True) -> Column:
-    """General clean-up of extracted text: dashes, bars, stray symbols and trailing rubbish."""
-    out = plain_dashes(c) if dashes else c
-    out = apply_rules(out, MARKS)
-    return normal_space(out)
+def repair_text(c: Column) -> Column:
+    """Clean-up of a text layer: syllables joined, soft hyphens and stray quotes out; blank is empty."""
+    return stripped(apply_rules(stripped(c), REPAIR_TEXT))
+
+
+def repair_scan(c: Column) -> Column:
+    """Clean-up of recognised text: marks and letters that recognition adds, leading noise, spaces; blank is empty."""
+    out = drop_leading_noise(apply_rules(F.coalesce(c, F.lit("")), REPAIR_SCAN))
+    return stripped(F.regexp_replace(F.regexp_replace(out, r"(?U)\s{2,}", " "), r"(?U)\s+([,.;:!?])", "$1"))
 
 
 def artefacts(c: Column) -> Column:
@@ -182,9 +219,11 @@ def _spans(parts: Column) -> Column:
 
 
 def weighted_length(c: Column) -> Column:
-    """Printed width in rough units: narrow letters and marks count less, wide ones more."""
-    narrow, wide, space = count(c, "[ijl.,:;'!|]"), count(c, "[mwMW@]"), count(c, r"\s")
-    return F.length(c) - narrow * 0.5 + wide * 0.4 - space * 0.5
+    """Printed width in rough units: a letter is 1, narrow ones and marks less, wide ones and other capitals more."""
+    weights = F.lit(0.0)
+    for marks, weight in WIDTHS:
+        weights = weights + count(c, marks) * F.lit(weight)
+    return weights
 
 
 def columns_of(c: Column, least: int = 120) -> Column:

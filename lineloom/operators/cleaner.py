@@ -12,8 +12,22 @@ from ..functions import lines as L
 from ..functions import text as T
 from . import sequence as W
 
-#: Joins of syllables that recognition splits, in German lyrics.  Fixed values, extend by parameter.
-FRAGMENTS = [(r"\b([Uu])n d\b", "$1nd"), (r"\b([Dd])i e\b", "$1ie"), (r"\b([Nn])ich t\b", "$1icht"), (r"\b([Ss])ei n\b", "$1ein")]
+#: Words that recognition splits or misreads in German lyrics, in order.  Fixed values, extend by parameter.
+FRAGMENTS = [
+    (r"(?U)\bS0\b", "so"),
+    (r"(?iU)\bmeir\b", "mein"),
+    (r"(?iU)\bunc\b", "und"),
+    (r"(?iU)\bGe bet\b", "Gebet"),
+    (r"(?iU)\bEn de\b", "Ende"),
+    (r"(?iU)\bEhr Furcht\b", "Ehrfurcht"),
+    (r"(?iU)\bschons tes\b", "schönstes"),
+    (r"(?iU)\ber fullt\b", "erfüllt"),
+    (r"(?iU)\bge nört\b", "gehört"),
+    (r"(?iU)^\s*ie\s+be\b", "Liebe"),
+    (r"(?iU)^\s*Worte\b", "Die Worte"),
+    (r"(?iU)^\s*Ehrfurcht\b", "Voll Ehrfurcht"),
+    (r"(?U)\s+([,.;:!?])", "$1"),
+]
 
 
 def _body(line: Column, changed: Column) -> Column:
@@ -33,6 +47,13 @@ def drop_invalid_chords(df: DataFrame) -> DataFrame:
     return df.withColumn("line", C.drop_invalid(F.col("line")))
 
 
+def repair_fragments(df: DataFrame, rules: Sequence[tuple[str, str]] = FRAGMENTS) -> DataFrame:
+    """``rules`` in order on lines that neither are blank nor begin with a brace, right ends trimmed."""
+    line = F.col("line")
+    fixed = F.regexp_replace(T.apply_rules(line, list(rules)), r"(?U)\s+$", "")
+    return df.withColumn("line", F.when((T.stripped(line) != "") & ~T.stripped(line).startswith("{"), fixed).otherwise(line))
+
+
 def apply_rules(df: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """Rewriting rules for lines; a rule whose replacement is None drops the lines it matches."""
     for pattern, by in rules:
@@ -86,7 +107,7 @@ def clean(df: DataFrame, rules: Sequence[tuple[str, str]] = (), fragments: Seque
         df.transform(remove_garbage)
         .transform(repair_artefacts)
         .transform(drop_invalid_chords)
-        .transform(apply_rules, fragments)
+        .transform(repair_fragments, fragments)
         .transform(W.trim_lead_in)
         .transform(insert_markers, chorus)
         .transform(drop_repeated_structure)

@@ -12,9 +12,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-_STRUCTURE = re.compile(r"^\{comment:\s*(vers(?:e)?\s*\d+|chorus|bridge|coda|fine|d\.\s*[cs]\.\s*al\s*fine)\s*\}$", re.I)
+from ..functions.chords import GRAMMAR, count_brackets
+from ..functions.similarity import lyric_similarity
+from ..functions.text import lyric_key, stripped
+from .sequence import so_far
+
+#: Comments that name a part of the structure, and what recognition takes for a chord.  Fixed values.
+_STRUCTURE = re.compile(r"^\{comment:\s*(?:vers\s+\d+|chorus|bridge|coda|fine|d\.?c\.? al fine|d\.?s\.? al fine)\}\s*$", re.I)
+_CHORD = re.compile(rf"^{GRAMMAR['loose']}$", re.I)
 LINES = "doc_id long, line_no int, line string"
 
 
@@ -89,22 +97,23 @@ def strip_marks(text: str) -> str:
 
 
 def drop_repeated_structure(df: DataFrame, most: int = 3) -> DataFrame:
-    """See :func:`lineloom.operators.cleaner.drop_repeated_structure`; a dropped comment does not reset the count."""
+    """A structure comment that repeats the last one kept after one to ``most`` lyric lines goes, with the blank lines before it.
+
+    A dropped comment starts the count of lyric lines anew, as a kept one does.
+    """
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         keep, last, lyrics = [], None, 0
         for line in pdf.sort_values("line_no", kind="stable")["line"].fillna(""):
             s = line.strip()
-            m = _STRUCTURE.match(s)
-            if m:
-                label = m[1].lower()
-                again = label == last and 1 <= lyrics <= most
+            if _STRUCTURE.match(s):
+                again, last = s.lower() == last and 1 <= lyrics <= most, s.lower()
+                lyrics = 0
                 if again:
                     while keep and not keep[-1].strip():
                         keep.pop()
                     continue
-                last, lyrics = label, 0
-            elif s and not _is_directive(s):
+            elif s and not s.startswith("{"):
                 lyrics += 1
             keep.append(line)
         return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "line_no": range(len(keep)), "line": keep})
@@ -138,12 +147,16 @@ def collapse_near_repeats(df: DataFrame, least: int = 8, similar: float = 0.74)
 
 
 def join_fragments(df: DataFrame) -> DataFrame:
-    """Lines joined to the line grown so far: two short ones, after a hyphen, before a small letter, or an open end."""
+    """Lines joined to the line grown so far: two short ones, after a hyphen, before a small letter or a mark, or an open end.
+
+    Blank lines and directives stay apart.
+    """
+    letter = re.compile("[A-Za-zÄÖÜäöüß]")
 
     def joins(a: str, b: str) -> bool:
         if not a or not b or _is_directive(a) or _is_directive(b):
             return False
-        return (len(a) < 24 and len(b) < 24) or a.endswith("-") or b[0].islower() or b[0] in ",.;:!?" or (a[-1] not in ".!?:;" and b[0].isalpha() and len(a) < 60)
+        return (len(a) < 24 and len(b) < 24) or a.endswith("-") or b[0].islower() or b[0] in ",.:;" or (a[-1] not in ".!?" and letter.match(b) is not None and len(a) < 60)
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[str] = []
@@ -205,41 +218,68 @@ def bucket_regions(regions: DataFrame, least: float = 8.0, share: float = 0.62)
     return _by_document(regions, step, "doc_id long, page_no int, region_no int, line_no int", ("doc_id", "page_no"))
 
 
-def merge_regions(regions: DataFrame, gap: float = 0.6) -> DataFrame:
-    """Neighbouring regions of a line merged into the growing left one if the gap is under ``gap`` heights and the right one goes on in small letters."""
+def merge_regions(regions: DataFrame) -> DataFrame:
+    """Neighbouring regions of a line merged into the growing left one where they are parts of one word.
+
+    Neither may be a chord; the gap is small for the line's height, letters meet (not two capitals), tops
+    agree, and one part is short, nearly touches, or both letters are small.
+    """
+
+    def merges(a: list, b: list, mean: float) -> bool:
+        left, right = a[4].strip(), b[4].strip()
+        if not left or not right or _CHORD.match(left) or _CHORD.match(right):
+            return False
+        gap = b[0] - a[1]
+        height = max(1.0, min(max(a[3] - a[2], b[3] - b[2]), mean))
+        x, y = left[-1], right[0]
+        if gap < -2 or gap > max(4.5, height * 0.42) or not (x.isalpha() and y.isalpha()) or (x.isupper() and y.isupper()):
+            return False
+        if abs(a[2] - b[2]) > max(4.0, height * 0.25):
+            return False
+        return len(left) <= 5 or len(right) <= 5 or gap <= 1.5 or (x.islower() and y.islower())
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["left", "region_no"], kind="stable")
-        out: list[list] = []
+        mean, out = float((pdf["bottom"] - pdf["top"]).mean()), []
         for left, right, top, bottom, text in zip(pdf["left"], pdf["right"], pdf["top"], pdf["bottom"], pdf["text"].fillna(""), strict=True):
-            if out and left - out[-1][1] <= gap * (out[-1][3] - out[-1][2]) and text[:1].islower():
-                o = out[-1]
-                glue = "" if o[4].endswith("-") or left - o[1] <= 0 else " "
-                out[-1] = [o[0], max(o[1], right), min(o[2], top), max(o[3], bottom), o[4].rstrip("-") + glue + text]
+            b = [left, right, top, bottom, text]
+            if out and merges(out[-1], b, mean):
+                a = out[-1]
+                out[-1] = [min(a[0], left), max(a[1], right), min(a[2], top), max(a[3], bottom), a[4].strip() + text.strip()]
             else:
-                out.append([left, right, top, bottom, text])
+                out.append(b)
         head = pdf[["doc_id", "page_no", "line_no"]].iloc[0]
         return pd.DataFrame([[*head, i, *o] for i, o in enumerate(out)], columns=["doc_id", "page_no", "line_no", "region_no", "left", "right", "top", "bottom", "text"])
 
     return _by_document(regions, step, "doc_id long, page_no int, line_no int, region_no int, left double, right double, top double, bottom double, text string", ("doc_id", "page_no", "line_no"))
 
 
-def drop_duplicate_regions(regions: DataFrame, least: float = 0.55) -> DataFrame:
-    """Regions that repeat one kept before (boxes overlap and texts equal or contained): the better by score and length stays."""
+def same_region(p: tuple, q: tuple, least: float = 0.55) -> bool:
+    """Whether two regions ``(left, right, top, bottom, text)`` are one, read twice.
+
+    Their boxes overlap and one text holds the other, or the texts are equal and the centres close.
+    """
+    a, b = (re.sub("[^a-z0-9]+", "", (r[4] or "").lower()) for r in (p, q))
+    if not a or not b:
+        return False
+    w, h = min(p[1], q[1]) - max(p[0], q[0]), min(p[3], q[3]) - max(p[2], q[2])
+    common = w * h if w > 0 and h > 0 else 0.0
+    whole = (p[1] - p[0]) * (p[3] - p[2]) + (q[1] - q[0]) * (q[3] - q[2]) - common
+    if whole > 0 and common / whole >= least and (a in b or b in a):
+        return True
+    down, across = abs(p[2] + p[3] - q[2] - q[3]) / 2, abs(p[0] + p[1] - q[0] - q[1]) / 2
+    return a == b and down <= max(p[3] - p[2], q[3] - q[2]) * 0.35 and across <= max(p[1] - p[0], q[1] - q[0]) * 0.35
 
-    def iou(p, q) -> float:
-        w, h = min(p[1], q[1]) - max(p[0], q[0]), min(p[3], q[3]) - max(p[2], q[2])
-        if w <= 0 or h <= 0:
-            return 0.0
-        return w * h / ((p[1] - p[0]) * (p[3] - p[2]) + (q[1] - q[0]) * (q[3] - q[2]) - w * h)
+
+def drop_duplicate_regions(regions: DataFrame, least: float = 0.55) -> DataFrame:
+    """Regions that repeat one kept before go (see :func:`same_region`); the better by score and length stays in its place."""
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["top", "left", "region_no"], kind="stable")
         kept: list[int] = []
         rows = list(pdf[["left", "right", "top", "bottom", "text", "score"]].itertuples(index=False, name=None))
         for i, r in enumerate(rows):
-            a = normal(r[4] or "")
-            same = next((k for k, j in enumerate(kept) if iou(rows[j], r) >= least and (normal(rows[j][4] or "") in a or a in normal(rows[j][4] or ""))), None)
+            same = next((k for k, j in enumerate(kept) if same_region(rows[j], r, least)), None)
             if same is None:
                 kept.append(i)
             elif r[5] + 0.01 * len(r[4] or "") > rows[kept[same]][5] + 0.01 * len(rows[kept[same]][4] or ""):
@@ -249,48 +289,64 @@ def drop_duplicate_regions(regions: DataFrame, least: float = 0.55) -> DataFrame
     return _by_document(regions, step, "doc_id long, page_no int, region_no int", ("doc_id", "page_no"))
 
 
+def place_chords(target: str, donor: str) -> str:
+    """``target`` with the chords of ``donor`` at the word starts nearest to their scaled places."""
+    plain, found = "", []
+    for m in re.finditer(r"\[([^\]]+)\]|[^\[]+|\[", donor):
+        if m[1] is None:
+            plain += m[0]
+        else:
+            found.append((len(plain), m[1]))
+    out, words = target, [w.start() for w in re.finditer(r"\S+", target)] or [0]
+    for pos, name in reversed(found):
+        x = round(pos / max(1, len(plain)) * len(target))
+        snap = min(words, key=lambda w: (abs(w - x), w))
+        out = out[:snap] + f"[{name}]" + out[snap:]
+    return out
+
+
+def _sectioned(df: DataFrame) -> DataFrame:
+    """Lines with the label of the last comment before them, lower-cased, as ``section``, and whether they are one."""
+    s = stripped(F.col("line"))
+    comment = F.lower(s).startswith("{comment:") & s.endswith("}")
+    label = F.lower(F.trim(F.regexp_extract(s, r"(?i)^\{comment:(.*)\}$", 1)))
+    section = F.coalesce(F.last(F.when(comment, label), ignorenulls=True).over(so_far()), F.lit(""))
+    return df.select("doc_id", "line_no", "line", section.alias("section"), comment.alias("is_comment"))
+
+
 def transfer_chords(lines: DataFrame, donors: DataFrame, least: float = 0.32, few: int = 6) -> DataFrame:
-    """Chords of a donor version carried to like lyric lines, each donor line used once, best first by line order.
+    """Chords of a donor version carried to like lyric lines of the same section, each donor line used once.
 
-    Documents with ``few`` chords or more, or whose donor has at most two more, stay as they are; so do
-    documents that would not gain.
+    Lines take their best donor in order; a section that the donor does not have may use all its lines.
+    Documents with ``few`` chords or more, or whose donor has at most two more, stay as they are.
+    Similarities are computed in Spark; only the pairs that reach ``least`` are folded, by document.
     """
-    chord = re.compile(r"\[[^\]]+\]")
+    a, b = _sectioned(lines), _sectioned(donors)
+    give = b.filter(~F.col("is_comment") & (count_brackets(F.col("line")) > 0))
+    give = give.withColumn("first", F.min("line_no").over(Window.partitionBy("doc_id", "section")))
+    give = give.select("doc_id", "section", "first", F.col("line_no").alias("donor_no"), F.col("line").alias("donor"), lyric_key(F.col("line")).alias("__b"))
+    have = a.groupBy("doc_id").agg(F.sum(count_brackets(F.col("line"))).alias("have"))
+    offer = give.groupBy("doc_id").agg(F.sum(count_brackets(F.col("donor"))).alias("offer"))
+    gains = have.join(offer, "doc_id").filter((F.col("have") < few) & (F.col("offer") > F.col("have") + 2)).select("doc_id")
+    s = stripped(F.col("line"))
+    want = a.filter((s != "") & ~s.startswith("{") & (count_brackets(s) == 0)).join(gains, "doc_id", "left_semi")
+    want = want.select("doc_id", "section", "line_no", s.alias("target"), lyric_key(F.col("line")).alias("__a")).filter("__a <> ''")
+    known = give.select("doc_id", "section").distinct()
+    own = want.join(give, ["doc_id", "section"]).drop("section")
+    other = want.join(known, ["doc_id", "section"], "left_anti").drop("section").join(give.drop("section"), "doc_id")
+    similarity = lyric_similarity(F.col("__a"), F.col("__b"))
+    pairs = own.unionByName(other).filter("__b <> ''").withColumn("similarity", similarity).filter(F.col("similarity") >= least)
 
-    def place(target: str, donor: str) -> str:
-        plain, at = "", []
-        for m in re.finditer(r"\[([^\]]+)\]|[^\[]+|\[", donor):
-            if m[1] is None:
-                plain += m[0]
-            else:
-                at.append((len(plain), m[1]))
-        out, words = target, [w.start() for w in re.finditer(r"\S+", target)] or [0]
-        for pos, name in reversed(at):
-            x = round(pos / max(1, len(plain)) * len(target))
-            snap = min(words, key=lambda w: (abs(w - x), w))
-            out = out[:snap] + f"[{name}]" + out[snap:]
-        return out
-
-    def step(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("line_no", kind="stable")
-        old = [x or "" for x in left["line"]]
-        give = [x for x in right.sort_values("line_no", kind="stable")["line"] if x and chord.search(x)] if len(right) else []
-        have, offer = (sum(len(chord.findall(x)) for x in xs) for xs in (old, give))
-        new = list(old)
-        if have < few and offer > have + 2:
-            used: set[int] = set()
-            keys = [normal(x) for x in give]
-            for i, line in enumerate(old):
-                k = normal(line)
-                if not k or chord.search(line) or _is_directive(line.strip()):
-                    continue
-                best = max(((0.9 if k != g and (k in g or g in k) else similarity(k, g, least), -j) for j, g in enumerate(keys) if j not in used and g), default=(0.0, 0))
-                if best[0] >= least:
-                    used.add(-best[1])
-                    new[i] = place(line, give[-best[1]])
-            if sum(len(chord.findall(x)) for x in new) <= have:
-                new = old
-        return pd.DataFrame({"doc_id": left["doc_id"], "line_no": left["line_no"].astype("int32"), "line": new})
-
-    a, b = lines.select("doc_id", "line_no", "line"), donors.select("doc_id", "line_no", "line")
-    return a.groupBy("doc_id").cogroup(b.groupBy("doc_id")).applyInPandas(step, LINES)
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["line_no", "similarity", "first", "donor_no"], ascending=[True, False, True, True], kind="stable")
+        used, done, out = set(), None, []
+        for line_no, target, donor in zip(pdf["line_no"], pdf["target"], pdf["donor"], strict=True):
+            if line_no != done and donor not in used:
+                used.add(donor)
+                done = line_no
+                out.append((line_no, place_chords(target, donor)))
+        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "line_no": [n for n, _ in out], "new": [x for _, x in out]})
+
+    new = _by_document(pairs.select("doc_id", "line_no", "target", "first", "donor_no", "donor", "similarity"), step, "doc_id long, line_no int, new string")
+    out = lines.select("doc_id", "line_no", "line").join(new, ["doc_id", "line_no"], "left")
+    return out.select(F.col("doc_id").cast("long"), F.col("line_no").cast("int"), F.coalesce("new", "line").alias("line"))

@@ -97,7 +97,7 @@ def match_by_occurrence(lines: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def companions(left: DataFrame, right: DataFrame, block: str, threshold: float = 0.72) -> DataFrame:
-    """For each ``left(id, name, block)`` the ``right`` of the same block whose name is most similar.
+    """For each ``left(id, name, block)`` the other ``right`` of the same block whose name is most similar.
 
     Names are compared without trailing numbers; 0.15 more if one holds the other; the best must
     exceed ``threshold``, ties go to the smaller id.
@@ -105,17 +105,17 @@ def companions(left: DataFrame, right: DataFrame, block: str, threshold: float =
     a = left.select(block, F.col("id").alias("id"), companion_key(F.col("name")).alias("__a"))
     b = right.select(block, F.col("id").alias("other"), companion_key(F.col("name")).alias("__b"))
     score = edit_similarity(F.col("__a"), F.col("__b")) + F.when(contains_either(F.col("__a"), F.col("__b")), 0.15).otherwise(0.0)
-    pairs = a.join(b, block).withColumn("score", score).filter(F.col("score") > threshold)
+    pairs = a.join(b, block).filter("id <> other").withColumn("score", score).filter(F.col("score") > threshold)
     best = pairs.groupBy("id").agg(F.max(F.struct("score", (-F.col("other")).alias("o"))).alias("b"))
     return best.select("id", (-F.col("b.o")).alias("other"), F.col("b.score").alias("score"))
 
 
 def best_lines(lines: DataFrame, donors: DataFrame, block: str, threshold: float = 0.32) -> DataFrame:
-    """Each line's most similar donor line of its block, by normalised lyrics."""
+    """Each line's most similar line of another document of its block, by normalised lyrics; ties to the smaller document and line."""
     a = lines.select(block, "doc_id", "line_no", lyric_key(F.col("line")).alias("__a"))
-    b = donors.select(block, F.col("line_no").alias("donor_no"), lyric_key(F.col("line")).alias("__b"))
-    pairs = a.join(b, block).withColumn("similarity", lyric_similarity(F.col("__a"), F.col("__b"))).filter(F.col("similarity") >= threshold)
-    best = pairs.groupBy("doc_id", "line_no").agg(F.max(F.struct("similarity", (-F.col("donor_no")).alias("d"))).alias("b"))
+    b = donors.select(block, F.col("doc_id").alias("donor_id"), F.col("line_no").alias("donor_no"), lyric_key(F.col("line")).alias("__b"))
+    pairs = a.join(b, block).filter("doc_id <> donor_id").withColumn("similarity", lyric_similarity(F.col("__a"), F.col("__b"))).filter(F.col("similarity") >= threshold)
+    best = pairs.groupBy("doc_id", "line_no").agg(F.max(F.struct("similarity", (-F.col("donor_id")).alias("i"), (-F.col("donor_no")).alias("d"))).alias("b"))
     return best.select("doc_id", "line_no", (-F.col("b.d")).alias("donor_no"), F.col("b.similarity").alias("similarity"))
 
 

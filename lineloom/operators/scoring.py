@@ -142,11 +142,32 @@ def best_candidate(candidates: DataFrame, prefer: str | None = None, floor: floa
 
 
 def accept_donor(pairs: DataFrame) -> DataFrame:
-    """Whether a donor version replaces the own one: ``(doc_id, score, fragments, chords)`` of both sides, first rule that decides."""
-    s, ds = F.col("score"), F.col("donor_score")
-    f, df = F.col("fragments"), F.col("donor_fragments")
-    c, dc = F.col("chords"), F.col("donor_chords")
-    return pairs.withColumn("accepted", F.when(dc < c, False).when(ds >= s + 20, True).when((dc > c + 2) & (ds >= s - 8), True).when((df < f) & (ds >= s - 10), True).when((dc > c) & (ds >= s + 8), True).otherwise(False))
+    """What becomes of a dump of the same pages: ``choice`` is ``merged``, ``donor`` or ``own``; the first rule that fits.
+
+    ``pairs`` holds ``score, fragments, chords, chorus`` of both sides (the donor's with ``donor_`` before
+    them) and ``merged_score, merged_chords``.
+    """
+    c = F.col
+    richer = ~c("chorus") | (c("donor_chords") >= c("chords") + 2)
+    clearer = (c("fragments") >= c("donor_fragments") + 2) & c("donor_chorus") & richer & (c("donor_score") >= c("score") - 8)
+    choice = F.when((c("merged_score") > c("score") + 8) | (c("merged_chords") > c("chords")), "merged").when((c("donor_score") > c("score") + 18) | clearer, "donor").otherwise("own")
+    return pairs.withColumn("choice", choice)
+
+
+def accept_companion(pairs: DataFrame) -> DataFrame:
+    """As :func:`accept_donor`, for another document of like name; also ``gibberish`` and ``verses`` of both sides."""
+    c = F.col
+    gain = c("donor_chords") - c("chords")
+    choice = (
+        F.when(c("merged_score") > c("score") + 8, "merged")
+        .when((c("fragments") >= c("donor_fragments") + 2) & (c("donor_verses") >= 2) & (gain >= 2) & (c("donor_score") >= c("score") - 12), "donor")
+        .when((c("gibberish") >= 6) & (c("donor_verses") >= 2) & (gain >= 2) & (c("donor_gibberish") <= c("gibberish")), "donor")
+        .when(~c("chorus") & c("donor_chorus") & (gain >= 4) & (c("donor_gibberish") <= F.greatest(F.lit(0), c("gibberish") - 2)) & (c("donor_score") >= c("score") - 10), "donor")
+        .when((c("verses") == 0) & (c("donor_verses") >= 2) & (gain >= 4) & (c("donor_gibberish") <= F.greatest(F.lit(0), c("gibberish"))) & (c("donor_score") >= c("score") - 5), "donor")
+        .when((c("donor_score") > c("score") + 20) | ((c("score") < 90) & (c("donor_score") > c("score") + 8)), "donor")
+        .otherwise("own")
+    )
+    return pairs.withColumn("choice", choice)
 
 
 def status_rollup(files: DataFrame) -> DataFrame:
@@ -192,10 +213,11 @@ def letters_to_lines(letters_: DataFrame) -> DataFrame:
     base = F.bround("bottom", 1)
     rows = letters_.withColumn("base", base)
     line = Window.partitionBy("doc_id", "page_no", "base")
-    by_x = line.orderBy("left")
+    # Letters that begin together come by their right edge, then by themselves.
+    by_x = line.orderBy("left", "right", "letter")
     rows = rows.withColumn("__gap", F.col("left") - F.lag("right").over(by_x)).withColumn("__w", F.avg(F.col("right") - F.col("left")).over(line))
     piece = F.concat(F.when(F.col("__gap") > F.greatest(F.lit(1.0), F.col("__w") * 1.6), " ").otherwise(""), F.col("letter"))
-    return rows.withColumn("piece", piece).groupBy("doc_id", "page_no", "base").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "piece"))), lambda x: x["piece"]), "").alias("line"))
+    return rows.withColumn("piece", piece).groupBy("doc_id", "page_no", "base").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "right", "letter", "piece"))), lambda x: x["piece"]), "").alias("line"))
 
 
 def best_mode(recognised: DataFrame) -> DataFrame:

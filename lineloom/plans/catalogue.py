@@ -84,6 +84,26 @@ def garbage_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.lines(spark, sf_dir).select("doc_id", "line_no", L.is_garbage(F.col("line")).alias("garbage"))
 
 
+TOKEN_CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '[^A-Za-z0-9#b/]+', '', 'g'), '(?i)^([A-H])l([A-Z])', '\1\2'), '(?i)^([A-H])i?m$', '\1m'), '(?i)^([A-H])(?:ma|mqj|maij|mai)7$', '\1maj7'), '(?i)^([A-H])i([0-9]+)$', '\1\2')"""
+NOISY = f"""t AS (SELECT doc_id, line_no, {trim('line')} AS s FROM lines), c AS (SELECT *, length(s) AS len, {n('s', LETTERS)} AS nl, {n('s', DIGITS)} AS nd, {n('s', SYMBOLS)} AS ns, list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> '') AS toks FROM t),
+  k AS (SELECT *, len(toks) AS nt, len(list_filter(toks, lambda x: length(x) <= 2)) AS short, len(list_filter(toks, lambda x: length(x) = 1)) AS single, len(list_filter(toks, lambda x: regexp_matches(x, '{DIGITS}'))) AS dt, len(list_filter(toks, lambda x: regexp_matches(x, '^{LETTERS}$'))) AS lone,
+    len(list_filter(toks, lambda x: NOT regexp_matches(x, '{LETTERS}'))) AS marks, len(list_filter(list_transform(toks, lambda x: {TOKEN_CLEAN}), lambda x: regexp_matches(x, '(?i)^{C.GRAMMAR['basic']}$'))) AS found,
+    {n('s', '[_|=~^' + chr(92) + '[' + chr(92) + ']{}' + chr(92) * 2 + '/*“”’‘]')} AS noise FROM c),
+  q AS (SELECT *, s = '' OR regexp_matches(s, '===|___|%%|[|][|]|[=_]{{2,}}|-{{4,}}') OR (ns / greatest(len, 1) > 0.22 AND nl / greatest(len, 1) < 0.40) OR (ns + nd >= 10 AND nl <= 6) AS staff,
+    nt >= 6 AND short >= nt * 0.8 AND len(list_filter(toks, lambda x: length(x) >= 4)) = 0 AND nl <= 12 AS scraps,
+    (nt >= 4 AND short >= nt * 0.6 AND (dt >= 1 OR lone >= 2)) OR (dt >= 2 AND short >= 2) OR (marks >= 2 AND short >= 3) AS fragmented,
+    len BETWEEN 8 AND 80 AND nd = 0 AND nt BETWEEN 2 AND 6 AND marks = 0 AND regexp_matches(s, '(?i)(^|[^{LETTERS}{DIGITS}_])(und|and|copyright|rights)($|[^{LETTERS}{DIGITS}_])') AS footer FROM k)"""
+
+
+@query(f"""WITH {LINES}, {NOISY} SELECT doc_id, line_no, footer,
+  CASE WHEN s = '' THEN true WHEN nl <= 2 AND noise >= 4 THEN true WHEN nl / greatest(len, 1) < 0.20 AND noise >= 6 THEN true WHEN staff OR scraps THEN true WHEN nt >= 6 AND single >= nt * 0.7 AND nl <= 4 THEN true
+    WHEN nl >= 8 AND nl / greatest(len, 1) > 0.35 THEN false WHEN found >= 2 THEN false ELSE len < 20 AND (noise >= 3 OR nd >= 4) AND nl <= 3 END AS note_noise,
+  s <> '' AND NOT footer AND NOT fragmented AND CASE WHEN regexp_matches(s, '^\\d+\\s*[.)]') THEN nl >= 6 ELSE nd = 0 AND nl >= 12 END AS lyric_start FROM q""")
+def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.col("line")
+    return inputs.lines(spark, sf_dir).select("doc_id", "line_no", L.is_footer_credit(line).alias("footer"), L.is_note_noise(line).alias("note_noise"), L.is_lyric_start(line).alias("lyric_start"))
+
+
 @query(f"""WITH {LINES}, {TRIMMED}, {COUNTS}, f AS (SELECT *, {trim(r"regexp_replace(line, '\[[^\]]+\]', '', 'g')")} AS s FROM c),
   w AS (SELECT *, regexp_extract_all(s, '\\p{{L}}+') AS ws, {n('s', r'\p{L}+|\d+|\S')} AS nt, {n('s', r'[^\p{L}\d\s]{2,}')} AS bursts FROM f),
   q AS (SELECT *, len(list_filter(ws, lambda x: length(x) <= 2)) AS tiny, len(list_filter(ws, lambda x: regexp_matches(x, '^\\p{{Lu}}$'))) AS single FROM w)
@@ -131,8 +151,7 @@ def notation_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.notation_ratios(table(spark, sf_dir, "documents"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, CAST(doc_id % 40 AS INTEGER)) ELSE text END AS text FROM documents),
-  lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, 0 AS line_no FROM d), {TRIMMED}
+@query(f"""WITH {LINES}, {TRIMMED}
 SELECT doc_id, count(*) FILTER (WHERE {CONTENT}) = 0 OR coalesce(sum(length(line)) FILTER (WHERE {CONTENT}), 0) < 20 OR coalesce(sum(length(line)) FILTER (WHERE {CONTENT}), 0) / greatest(count(*) FILTER (WHERE {CONTENT}), 1) < 3.0 AS empty FROM t GROUP BY doc_id""")
 def effectively_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.is_effectively_empty(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -202,12 +221,12 @@ def title_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LINES}, k AS (SELECT doc_id, line_no, doc_id // 2 AS pair, {key(r"regexp_replace(line, '\[[^\]]+\]', '', 'g')")} AS key FROM lines),
-  p AS (SELECT a.doc_id, a.line_no, b.line_no AS donor_no, CASE WHEN a.key = b.key THEN 1.0 WHEN a.key = '' OR b.key = '' THEN 0.0 WHEN contains(a.key, b.key) OR contains(b.key, a.key) THEN 0.9 ELSE 1.0 - levenshtein(a.key, b.key) / greatest(length(a.key), length(b.key)) END AS similarity
-    FROM k a JOIN k b ON a.pair = b.pair AND a.doc_id % 2 = 0 AND b.doc_id % 2 = 1)
-SELECT doc_id, line_no, donor_no, similarity FROM p WHERE similarity >= 0.32 QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY similarity DESC, donor_no) = 1""")
+  p AS (SELECT a.doc_id, a.line_no, b.doc_id AS donor_id, b.line_no AS donor_no, CASE WHEN a.key = b.key THEN 1.0 WHEN a.key = '' OR b.key = '' THEN 0.0 WHEN contains(a.key, b.key) OR contains(b.key, a.key) THEN 0.9 ELSE 1.0 - levenshtein(a.key, b.key) / greatest(length(a.key), length(b.key)) END AS similarity
+    FROM k a JOIN k b ON a.pair = b.pair AND a.doc_id <> b.doc_id)
+SELECT doc_id, line_no, donor_no, similarity FROM p WHERE similarity >= 0.32 QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY similarity DESC, donor_id, donor_no) = 1""")
 def fuzzy_best_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.lines(spark, sf_dir).withColumn("pair", F.expr("doc_id div 2"))
-    return matching.best_lines(rows.filter("doc_id % 2 = 0"), rows.filter("doc_id % 2 = 1"), "pair")
+    return matching.best_lines(rows, rows, "pair")
 
 
 @query(rf"""WITH {LINES}, k AS (SELECT doc_id, line_no, line, lower(trim(regexp_replace(regexp_replace(line, '\s+', ' ', 'g'), ' ([,.;:!?])', '\1', 'g'))) AS key FROM lines)
@@ -227,11 +246,11 @@ def reference_match_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH a AS (SELECT p_partkey AS id, p_brand || p_size || p_type AS block, regexp_replace({key('p_name')}, '\\d+$', '') AS k FROM part),
   p AS (SELECT a.id, b.id AS other, CASE WHEN a.k = b.k THEN 1.0 ELSE 1.0 - levenshtein(a.k, b.k) / greatest(length(a.k), length(b.k)) END + CASE WHEN contains(a.k, b.k) OR contains(b.k, a.k) THEN 0.15 ELSE 0.0 END AS score
-    FROM a JOIN a b ON a.block = b.block AND a.id % 2 = 0 AND b.id % 2 = 1)
+    FROM a JOIN a b ON a.block = b.block AND a.id <> b.id)
 SELECT id, other, round(score, 6) AS score FROM p WHERE score > 0.72 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, other) = 1""")
 def companion_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat("p_brand", F.col("p_size").cast("string"), "p_type").alias("block"))
-    return matching.companions(p.filter("id % 2 = 0"), p.filter("id % 2 = 1"), "block").withColumn("score", F.round("score", 6))
+    return matching.companions(p, p, "block").withColumn("score", F.round("score", 6))
 
 
 # line streams ---------------------------------------------------------------------------------
@@ -330,10 +349,10 @@ def chord_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.tokens(spark, sf_dir).select("doc_id", "pos", "part", C.clean(F.col("token")).alias("clean"))
 
 
-@query(f"WITH {TOKENS} SELECT doc_id, pos, part, regexp_matches(token, '(?i)^{C.GRAMMAR['basic']}$') AS chord, regexp_matches('[' || token || ']', '^{BRACKETED}$') AS bracketed FROM tokens")
+@query(f"WITH {TOKENS} SELECT doc_id, pos, part, regexp_matches(token, '(?i)^{C.GRAMMAR['basic']}$') AS chord, regexp_matches('[' || token || ']', '^{BRACKETED}$') AS bracketed, regexp_matches(token, '(?i)^[A-H](#|b)?(m|maj|min|sus|add|dim|aug)?[0-9/+#b]*(/[A-H](#|b)?)?$') AS loose FROM tokens")
 def chord_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = inputs.tokens(spark, sf_dir)
-    return t.select("doc_id", "pos", "part", C.is_chord(F.col("token")).alias("chord"), C.is_valid_bracket(F.concat(F.lit("["), "token", F.lit("]"))).alias("bracketed"))
+    return t.select("doc_id", "pos", "part", C.is_chord(F.col("token")).alias("chord"), C.is_valid_bracket(F.concat(F.lit("["), "token", F.lit("]"))).alias("bracketed"), C.is_chord(F.col("token"), "loose").alias("loose"))
 
 
 @query(rf"""WITH {TOKENS} SELECT doc_id, pos, part, CASE WHEN chord LIKE 'Bb%' THEN 'B' || substr(chord, 3) WHEN chord LIKE 'B%' THEN 'H' || substr(chord, 2) WHEN chord LIKE '%/Bb%' THEN replace(chord, '/Bb', '/B') ELSE replace(chord, '/B', '/H') END AS german,
@@ -363,11 +382,11 @@ def even_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sequences(spark, sf_dir, "chord").join(d, "doc_id").select("doc_id", C.insert_evenly(F.col("chords"), F.col("words")).alias("line"))
 
 
-@query(f"WITH {TOKENS}, {ORDERED} SELECT doc_id, '{{title: Order ' || doc_id || '}}' || chr(10) || '{{key: ' || chords[1] || '}}' || chr(10) || list_aggregate(list_transform(chords, lambda x: '[' || x || ']'), 'string_agg', ' ') AS cho FROM s")
+@query(f"WITH {TOKENS}, {ORDERED} SELECT doc_id, '{{title: Order ' || doc_id || '}}' || chr(10) || '{{key: ' || chords[1] || '}}' || chr(10) || list_aggregate(list_transform(chords, lambda x: '[' || x || ']'), 'string_agg', ' ') || ' ----' AS cho FROM s")
 def cho_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _sequences(spark, sf_dir, "chord")
     head = S.header({"title": F.concat(F.lit("Order "), F.col("doc_id").cast("string")), "key": at("chords", 1)})
-    return s.select("doc_id", F.concat_ws("\n", head, C.render(F.col("chords"))).alias("cho"))
+    return s.select("doc_id", F.concat_ws("\n", head, C.render_line(F.col("chords"))).alias("cho"))
 
 
 @query()
@@ -476,7 +495,7 @@ def region_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = inputs.boxes(spark, sf_dir)
     r = b.select("doc_id", "page_no", F.expr("cast(line_no div 10 as int)").alias("line_no"), F.col("line_no").alias("region_no"), "left", "right", "top", "bottom", F.when(F.col("is_chord"), "word").otherwise("Word").alias("text"))
-    return folds.merge_regions(r, gap=2.0)
+    return folds.merge_regions(r)
 
 
 @query()
@@ -492,15 +511,37 @@ def nearest_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.nearest_note_above(inputs.boxes(spark, sf_dir), F.col("is_chord")).select("doc_id", "line_no", "note_no")
 
 
-@query(f"""WITH {BOXES} SELECT doc_id, line_no, count(*) AS n_words, min("left") AS w_left, max("right") AS w_right FROM (SELECT doc_id, line_no, "left", "right", unnest(['la', 'wide', 'mixed']) FROM boxes) GROUP BY ALL""")
+PHRASES = ("la wide mixed", "Oh, Mill-Wheel (I) go!", "AMEN: w/m [ill]; Xylophone.", "One")
+WIDTH = f"""0.55 * {n('word', '[ilI|]')} + 1.35 * {n('word', '[mwMW]')} + 0.65 * {n('word', '[-/]')} + 0.45 * {n('word', '[.,:;!]')} + 0.6 * {n('word', '[()' + chr(92) + '[' + chr(92) + ']]')}
+  + 1.1 * ({n('word', UPPERS)} - {n('word', '[IMW]')}) + length(word) - {n('word', '[ilI|mwMW/.,:;!()' + chr(92) + '[' + chr(92) + ']-]')} - ({n('word', UPPERS)} - {n('word', '[IMW]')})"""
+
+
+@query(f"""WITH {BOXES}, r AS (SELECT doc_id, line_no, "left", "right", string_split({inputs._sql_pick(PHRASES, '(line_no + word_no)')}, ' ') AS words FROM boxes),
+  w AS (SELECT doc_id, line_no, "left", "right", generate_subscripts(words, 1) - 1 AS word_no, unnest(words) AS word FROM r), l AS (SELECT *, {WIDTH} + 0.5 AS w FROM w),
+  e AS (SELECT *, sum(w) OVER (PARTITION BY doc_id, line_no ORDER BY word_no) AS upto, sum(w) OVER (PARTITION BY doc_id, line_no) AS whole FROM l)
+SELECT doc_id, line_no, CAST(word_no AS INTEGER) AS word_no, word, CAST(round("left" + (upto - w) * ("right" - "left") / whole, 4) AS DOUBLE) AS w_left, CAST(round("left" + upto * ("right" - "left") / whole, 4) AS DOUBLE) AS w_right FROM e""")
 def region_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = inputs.boxes(spark, sf_dir).withColumnRenamed("line_no", "region_no").withColumn("text", F.lit("la wide mixed"))
-    w = scoring.words_of_regions(r.select("doc_id", "page_no", "region_no", "left", "right", "top", "bottom", "text"))
-    return w.groupBy("doc_id", F.col("region_no").alias("line_no")).agg(F.count(F.lit(1)).alias("n_words"), F.round(F.min("w_left"), 6).alias("w_left"), F.round(F.max("w_right"), 6).alias("w_right"))
+    b = inputs.boxes(spark, sf_dir)
+    r = b.select("doc_id", "page_no", F.col("line_no").alias("region_no"), "left", "right", "top", "bottom", inputs._pick(PHRASES, F.col("line_no") + F.col("word_no")).alias("text"))
+    return scoring.words_of_regions(r).select("doc_id", F.col("region_no").alias("line_no"), "word_no", "word", F.round("w_left", 4).alias("w_left"), F.round("w_right", 4).alias("w_right"))
+
+
+#: Scraps as recognition gives them, for the test of regions.
+SCRAPS = ("la", "", "12", "a1", "ab 1 c", "x y z long", "#%&* ab", "#%&* abcd", "- / ( )", "Word")
+
+
+@query(f"""WITH {BOXES}, r AS (SELECT doc_id, line_no, {inputs._sql_pick(SCRAPS, '(line_no + word_no)')} AS text, ("right" - "left") / 20 AS w, (bottom - top) / 5 AS h, 0.5 + (line_no % 7) / 50 AS score FROM boxes),
+  c AS (SELECT *, {n('text', LETTERS)} AS nl, {n('text', DIGITS)} AS nd, list_filter(string_split(text, ' '), lambda x: x <> '') AS toks, {n('text', '[^' + LETTERS + DIGITS + chr(92) + 's/()-]')} AS weird FROM r)
+SELECT doc_id, line_no, text = '' OR w < 4 OR h < 4 OR (score < 0.58 AND nl <= 2 AND nd > 0) OR (score < 0.55 AND len(toks) >= 3 AND len(list_filter(toks, lambda x: length(x) <= 2)) >= len(toks) * 0.75) OR (nl = 0 AND nd > 0) OR (weird >= 4 AND nl <= 3) AS discard FROM c""")
+def region_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = inputs.boxes(spark, sf_dir)
+    score = F.lit(0.5) + (F.col("line_no") % 7) / 50
+    noise = L.is_region_noise(inputs._pick(SCRAPS, F.col("line_no") + F.col("word_no")), score, (F.col("right") - F.col("left")) / 20, (F.col("bottom") - F.col("top")) / 5)
+    return b.select("doc_id", "line_no", noise.alias("discard"))
 
 
 @query(f"""WITH {BOXES}, l AS (SELECT doc_id, round_even(bottom / 50, 0) AS base, "left", "right", CASE WHEN is_chord THEN 'c' ELSE 'l' END AS letter FROM boxes),
-  g AS (SELECT *, "left" - lag("right") OVER w AS gap, avg("right" - "left") OVER (PARTITION BY doc_id, base) AS mw FROM l WINDOW w AS (PARTITION BY doc_id, base ORDER BY "left"))
+  g AS (SELECT *, "left" - lag("right") OVER w AS gap, avg("right" - "left") OVER (PARTITION BY doc_id, base) AS mw FROM l WINDOW w AS (PARTITION BY doc_id, base ORDER BY "left", "right", letter))
 SELECT doc_id, base, count(*) AS n, count(*) FILTER (WHERE gap > greatest(1.0, mw * 1.6)) AS n_gaps FROM g GROUP BY ALL""")
 def letter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = inputs.boxes(spark, sf_dir)
@@ -530,11 +571,9 @@ def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.status_rollup(rows.withColumn("status", F.when(L.is_notation_name(F.col("name")), "SKIP").when(F.col("quality") == 0, "FAIL").otherwise("OK")))
 
 
-@query(f"""WITH {SHEET} SELECT doc_id, coalesce(bool_or(regexp_matches(line, '\\[[^\\]]*\\]')), false) AS has_chords FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND is_chord THEN '[' || split_part(line, ' ', 1) || ']' ELSE line END AS line FROM sheet WHERE NOT (is_chord AND doc_id % 2 = 1)) GROUP BY doc_id""")
+@query(f"""WITH {SHEET} SELECT doc_id, bool_or(len(string_split_regex(line, ' +')) >= 2 AND regexp_matches(line, '^[A-H]m?(?: +[A-H]m?)*$')) AS has_chords FROM sheet GROUP BY doc_id""")
 def chord_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = inputs.sheet(spark, sf_dir).filter("not (is_chord and doc_id % 2 = 1)")
-    line = F.when((F.col("doc_id") % 2 == 0) & F.col("is_chord"), F.concat(F.lit("["), at(F.split("line", " "), 1), F.lit("]"))).otherwise(F.col("line"))
-    return W.documents_with_chords(s.withColumn("line", line))
+    return W.documents_with_chords(inputs.sheet(spark, sf_dir))
 
 
 @query(f"""WITH {SHEET}, k AS (SELECT *, max(CASE WHEN line = 'Bridge' OR line LIKE 'Vers%' OR line = 'Chorus:' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS started FROM sheet) SELECT doc_id, line_no, line FROM k WHERE started = 1""")
@@ -554,12 +593,30 @@ def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.lines_by_section(s).select("doc_id", "section", F.size("lines").cast("long").alias("n"), F.array_join("lines", "|").alias("lines"))
 
 
-@query("""WITH p AS (SELECT doc_id, CAST(n_chars % 211 AS DOUBLE) AS score, CAST(doc_id % 17 AS BIGINT) AS fragments, CAST(doc_id % 5 AS BIGINT) AS chords, CAST(doc_id % 193 AS DOUBLE) AS donor_score, CAST(n_chars % 13 AS BIGINT) AS donor_fragments, CAST(n_chars % 7 AS BIGINT) AS donor_chords FROM documents)
-SELECT *, CASE WHEN donor_chords < chords THEN false WHEN donor_score >= score + 20 THEN true WHEN donor_chords > chords + 2 AND donor_score >= score - 8 THEN true WHEN donor_fragments < fragments AND donor_score >= score - 10 THEN true WHEN donor_chords > chords AND donor_score >= score + 8 THEN true ELSE false END AS accepted FROM p""")
+#: Measures of two versions of a document, made from its id and length: column, factors of both, modulus.
+MEASURES = (("score", 1, 3, 211), ("fragments", 7, 1, 11), ("chords", 5, 11, 13), ("gibberish", 3, 5, 9), ("verses", 2, 7, 4), ("donor_score", 2, 5, 211), ("donor_fragments", 3, 2, 7), ("donor_chords", 11, 7, 17), ("donor_gibberish", 5, 3, 7), ("donor_verses", 7, 3, 5), ("merged_score", 1, 4, 97), ("merged_chords", 3, 1, 7))
+MEASURED = "p AS (SELECT doc_id, " + ", ".join(f"CAST((doc_id * {a} + n_chars * {b}) % {m} AS BIGINT) AS {c}" for c, a, b, m in MEASURES) + ", doc_id % 3 = 0 AS chorus, n_chars % 2 = 0 AS donor_chorus FROM documents)"
+
+
+def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = [((F.col("doc_id") * a + F.col("n_chars") * b) % m).cast("long").alias(c) for c, a, b, m in MEASURES]
+    return table(spark, sf_dir, "documents").select("doc_id", *made, (F.col("doc_id") % 3 == 0).alias("chorus"), (F.col("n_chars") % 2 == 0).alias("donor_chorus"))
+
+
+@query(f"""WITH {MEASURED} SELECT doc_id, CASE WHEN merged_score > score + 8 THEN 'merged' WHEN merged_chords > chords THEN 'merged'
+  WHEN donor_score > score + 18 OR (fragments >= donor_fragments + 2 AND donor_chorus AND (NOT chorus OR donor_chords >= chords + 2) AND donor_score >= score - 8) THEN 'donor' ELSE 'own' END AS choice FROM p""")
 def donor_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
-    p = d.select("doc_id", (F.col("n_chars") % 211).cast("double").alias("score"), (i % 17).alias("fragments"), (i % 5).alias("chords"), (i % 193).cast("double").alias("donor_score"), (F.col("n_chars") % 13).alias("donor_fragments"), (F.col("n_chars") % 7).alias("donor_chords"))
-    return scoring.accept_donor(p)
+    return scoring.accept_donor(_measures(spark, sf_dir)).select("doc_id", "choice")
+
+
+@query(f"""WITH {MEASURED} SELECT doc_id, CASE WHEN merged_score > score + 8 THEN 'merged'
+  WHEN fragments >= donor_fragments + 2 AND donor_verses >= 2 AND donor_chords >= chords + 2 AND donor_score >= score - 12 THEN 'donor'
+  WHEN gibberish >= 6 AND donor_verses >= 2 AND donor_chords >= chords + 2 AND donor_gibberish <= gibberish THEN 'donor'
+  WHEN NOT chorus AND donor_chorus AND donor_chords >= chords + 4 AND donor_gibberish <= greatest(0, gibberish - 2) AND donor_score >= score - 10 THEN 'donor'
+  WHEN verses = 0 AND donor_verses >= 2 AND donor_chords >= chords + 4 AND donor_gibberish <= greatest(0, gibberish) AND donor_score >= score - 5 THEN 'donor'
+  WHEN donor_score > score + 20 OR (score < 90 AND donor_score > score + 8) THEN 'donor' ELSE 'own' END AS choice FROM p""")
+def companion_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.accept_companion(_measures(spark, sf_dir)).select("doc_id", "choice")
 
 
 @query(f"WITH {CREDITS} SELECT doc_id, line AS copyright FROM credits WHERE line LIKE '© %'")
@@ -572,13 +629,21 @@ def structure_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.sheet(spark, sf_dir).select("doc_id", "line_no", S.structure_marker(F.col("line")).alias("marker"), S.single_word_label(F.col("line")).alias("label"))
 
 
-@query()
+@query(f"""WITH m AS (SELECT doc_id, 0 AS mode_no, text FROM documents UNION ALL SELECT doc_id, 1, regexp_replace(text, '[aeiou]', '|', 'g') FROM documents), s AS (SELECT doc_id, mode_no, {n('text', LETTERS)} + 0.25 * {n('text', DIGITS)} + 1.2 * {n('text', ' ')} + 2.0 * {n('text', chr(10))}
+  + 20.0 * len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: regexp_matches(x, '^[A-H][#b]?(?:m|maj|sus|dim|aug)?[245679]?$'))) + 8.0 * {n('text', '[äöüÄÖÜß]')} + 3.0 * {n('text', r'\p{L}{4,}')}
+  - 3.0 * {n('text', r"[^\p{L}\p{Nd}\s.,;:!?''\"()\[\]#/&-]")} - 1.5 * len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: length(x) = 1)) AS score FROM m)
+SELECT doc_id, mode_no, round(score, 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, mode_no) = 1""")
 def mode_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     modes = d.select("doc_id", F.lit(0).alias("mode_no"), "text").unionByName(d.select("doc_id", F.lit(1).alias("mode_no"), F.regexp_replace("text", "[aeiou]", "|").alias("text")))
     return scoring.best_mode(modes).select("doc_id", "mode_no", F.round("score", 4).alias("score"))
 
 
+@query()
+def post_process(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.post_processed(inputs.sheet(spark, sf_dir).select("doc_id", "line_no", "line"))
+
+
 @query()
 def title_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Document "), F.col("source")).alias("name"))

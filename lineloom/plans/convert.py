@@ -12,7 +12,7 @@ from ..functions import chords as C
 from ..functions import lines as L
 from ..functions import sections as S
 from ..functions.text import is_blank
-from ..operators import cleaner, scoring
+from ..operators import cleaner, folds, scoring
 from ..operators import sequence as W
 
 
@@ -47,6 +47,37 @@ def classified(lines: DataFrame) -> DataFrame:
     return rows.withColumn("explicit", F.when(~F.col("is_chord"), F.col("__label.section"))).drop("__label")
 
 
+def german_chords(rows: DataFrame) -> DataFrame:
+    """Lines with the chords of chord lines in German names, in documents that write them so; see :func:`scoring.german_vote`."""
+    tokens = C.chord_tokens(F.col("line"))
+    said = rows.filter("is_chord").select("doc_id", F.explode(tokens).alias("chord"))
+    german = scoring.german_vote(said).filter("german").select("doc_id", F.lit(True).alias("__german"))
+    parts = F.regexp_extract_all("line", F.lit(r"(\s+|\S+)"), F.lit(1))
+    named = F.array_join(F.transform(parts, lambda p: F.when(C.is_chord(C.clean(p)), C.german(C.clean(p))).otherwise(p)), "")
+    out = rows.join(german, "doc_id", "left").withColumn("line", F.when(F.col("is_chord") & F.col("__german"), named).otherwise(F.col("line")))
+    return out.select(*rows.columns)
+
+
+def images_to_status(converted: DataFrame, images: DataFrame, options: Options | None = None) -> DataFrame:
+    """``converted`` with documents that hold ``images(doc_id)`` and no text set aside, if the options say so."""
+    options = options or Options()
+    found = images.select("doc_id").distinct().withColumn("__images", F.lit(True))
+    only = F.coalesce("__images", F.lit(False)) & (F.col("message") == "no text") & F.lit(options.abort_on_image_only)
+    rows = converted.join(found, "doc_id", "left")
+    return rows.withColumn("status", F.when(only, "SKIP").otherwise(F.col("status"))).withColumn("message", F.when(only, "image only").otherwise(F.col("message"))).drop("__images")
+
+
+def post_processed(lines: DataFrame) -> DataFrame:
+    """The last steps over rendered lines, in order.
+
+    Credits go, comments without lines or repeated at once go, blanks at the start and in runs go,
+    neighbouring near repeats become their better line, and a noisy lead-in goes.
+    """
+    rows = lines.filter(~F.coalesce(L.is_footer_credit(F.col("line")), F.lit(False))).transform(W.drop_empty_comments).transform(W.drop_repeated_comments)
+    rows = rows.withColumn("__on", F.max((~is_blank(F.col("line"))).cast("int")).over(W.so_far())).filter("__on = 1").drop("__on")
+    return rows.transform(W.collapse_blanks).transform(folds.collapse_near_repeats).transform(W.trim_lead_in)
+
+
 def text_to_cho(lines: DataFrame, options: Options | None = None) -> DataFrame:
     """Chord documents from text lines: ``(doc_id, title, cho, n_chords, status, message)``.
 
@@ -59,13 +90,15 @@ def text_to_cho(lines: DataFrame, options: Options | None = None) -> DataFrame:
     rows = rows.withColumn("__title", F.min(F.when(named, F.col("line_no"))).over(W.whole())).filter(~F.col("line_no").eqNullSafe(F.col("__title"))).drop("__title")
     chord = rows.withColumn("is_chord", ~is_blank(F.col("line")) & C.is_chord_only(F.col("line")))
     merged = classified(W.merge_chord_rows(chord))
+    if options.use_german_notation:
+        merged = german_chords(merged)
     pairs = W.pair_chords(merged)
     used = pairs.select("doc_id", F.col("lyric_no").alias("line_no"), "chords").filter("line_no is not null")
     lone = pairs.filter("lyric_no is null").select("doc_id", "line_no", F.lit(True).alias("__lone"))
     body = W.assign_sections(merged).join(used, ["doc_id", "line_no"], "left").join(lone, ["doc_id", "line_no"], "left")
     even = C.insert_evenly(C.chord_tokens(F.col("chords")), F.filter(F.split("line", r"\s+"), lambda w: w != ""))
     tabbed = C.insert_at(F.col("line"), C.place_by_column(F.col("chords"), F.col("line"), options.tab_width))
-    rendered = F.when(F.col("__lone"), C.render(C.chord_tokens(F.col("line")))).when(F.col("chords").isNull(), F.col("line")).when(F.col("chords").contains("\t"), tabbed).otherwise(even)
+    rendered = F.when(F.col("__lone"), C.render_line(C.chord_tokens(F.col("line")))).when(F.col("chords").isNull(), F.col("line")).when(F.col("chords").contains("\t"), tabbed).otherwise(even)
     body = body.filter(~F.col("is_chord") | F.coalesce("__lone", F.lit(False))).withColumn("out", rendered)
     changed = ~F.col("section").eqNullSafe(F.lag("section").over(W.ordered()))
     comment = F.when(changed & F.col("section").isNotNull(), F.concat(F.lit("\n"), S.format_comment(F.col("section")), F.lit("\n"))).otherwise("")
