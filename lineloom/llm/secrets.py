@@ -1,11 +1,13 @@
 """Secret scans: fixed patterns, and probabilistic automata inferred from labelled credentials.
 
-The base patterns find assignments, access keys and long hexadecimal runs.  Their matches in a
-bounded sample of documents are the labelled credentials, a format being a kind and a length; formats
-that the base patterns cannot label start from examples made by rule.  For each format a prefix tree
-of its examples is built over character classes, and states whose futures (symbols, ends, and lengths
-of what remains) are statistically compatible are merged, which leaves a probabilistic automaton.  The
-other characters of the sample are the negatives: they give a background model of character pairs.
+The base patterns find assignments, access keys and long hexadecimal runs.  Their distinct matches in
+all documents are the labelled credentials, a format being a kind and a length; formats that the base
+patterns cannot label start from examples made by rule.  All examples of a format are counted, over
+character classes, in an acceptor whose states are a place and the last ORDER symbols before it (the
+prefix tree, folded below that depth, so that its size does not grow with the examples), and states
+whose futures (symbols, ends, and lengths of what remains) are statistically compatible are merged,
+which leaves a probabilistic automaton.  The other characters of all documents are the negatives: they
+give a background model of character pairs.
 
 Candidates are all parts of runs of token characters that begin with the run, after a mark or with a
 format's beginning and end at a mark or with the run.  Each is scored by the logarithm of its
@@ -27,7 +29,7 @@ import random
 import re
 import string
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,11 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, hash_sample, slices
+from .common import checkpointed, column, slices
 
-#: Bounds on the documents searched for labelled credentials and on the examples of one format.
-FIT_DOCUMENTS = 65_536
-EXAMPLES = 384
+#: Symbols before a place that tell its states apart before any are merged.
+ORDER = 3
+#: Counts of symbols that a task holds before it passes them on.
+COUNTS = 200_000
 #: Fewest examples of a format, and the most characters of one: longer values give no example.
 LEAST, LONGEST = 24, 256
 ALPHA = 0.01
@@ -64,7 +67,11 @@ CLASSES = {"0": string.digits, "f": "abcdef", "z": "ghijklmnopqrstuvwxyz", "F":
 _CLASS = {c: k for k, cs in CLASSES.items() for c in cs}
 _SHARE = {k: -math.log(len(cs)) for k, cs in CLASSES.items()}
 
+_SYMBOL = re.compile("=?.", re.DOTALL)
+
 Span = tuple[str, int, int]
+#: A length of examples, a place, the last ORDER symbols before it, and the symbol there.
+Gram = tuple[int, int, str, str]
 
 
 def base_spans(text: str | None) -> list[Span]:
@@ -89,8 +96,25 @@ def joined(spans: Sequence[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def tally(examples: Iterable[str]) -> dict[Gram, list]:
+    """How often each symbol follows those before it, with the least and the greatest character that it stood for."""
+    out: dict[Gram, list] = {}
+    for e in examples:
+        symbols = [_CLASS.get(c, "=" + c) for c in e]
+        for i, c in enumerate(e):
+            gram = len(e), i, "".join(symbols[max(0, i - ORDER) : i]), symbols[i]
+            seen = out.get(gram)
+            if seen is None:
+                out[gram] = [1, c, c]
+            else:
+                seen[0] += 1
+                if not seen[1] <= c <= seen[2]:
+                    seen[1:] = min(seen[1], c), max(seen[2], c)
+    return out
+
+
 class Automaton:
-    """A probabilistic automaton merged from the prefix tree of ``examples``.
+    """A probabilistic automaton merged from the counts (:func:`tally`) of all ``examples``.
 
     A symbol is a character where all examples have the same one, else its class.  States are merged
     in order of their distance from the start, into the first state that is compatible: all shares of
@@ -98,15 +122,22 @@ class Automaton:
     for the states that the symbols lead to.
     """
 
-    def __init__(self, examples: Sequence[str], alpha: float = ALPHA):
-        shortest = min(map(len, examples))
-        self.fixed = [len({e[i] for e in examples}) == 1 and examples[0][i] for i in range(shortest)] if len(set(examples)) > 1 else [False] * shortest
+    def __init__(self, examples: Iterable[str] = (), alpha: float = ALPHA, grams: Mapping[Gram, Sequence] | None = None):
+        grams = tally(examples) if grams is None else grams
+        sizes = {size for size, *_ in grams}
+        chars: list[set[str]] = [set() for _ in range(min(sizes, default=0))]
+        for (_, i, _, _), (_, low, high) in grams.items():
+            if i < len(chars):
+                chars[i] |= {low, high}
+        self.fixed = [len(x) == 1 and min(x) for x in chars]
+        if len(sizes) == 1 and all(self.fixed):  # a single example
+            self.fixed = [False] * len(chars)
         self.next: list[dict[str, int]] = [{}]
         self.uses: list[dict[str, int]] = [{}]
         self.left: list[Counter[int]] = [Counter()]
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
-        for e in examples:
-            self._insert([self._symbol(i, c) for i, c in enumerate(e)])
+        self._count(grams)
+        self.up = list(range(len(self.next)))
         self._merge()
         self._finish()
 
@@ -114,23 +145,41 @@ class Automaton:
         # Marked, so that a character is not mistaken for a class, nor one met where it is fixed for another.
         return "!" + c if i < len(self.fixed) and self.fixed[i] == c else _CLASS.get(c, "=" + c)
 
-    def _insert(self, word: list[str]) -> None:
-        s = 0
-        for i, c in enumerate(word):
-            self.left[s][len(word) - i] += 1
-            self.uses[s][c] = self.uses[s].get(c, 0) + 1
-            if c not in self.next[s]:
-                self.next[s][c] = len(self.next)
+    def _count(self, grams: Mapping[Gram, Sequence]) -> None:
+        places = {(0, ""): 0}
+
+        def state(i: int, before: str) -> int:
+            s = places.setdefault((i, before), len(self.next))
+            if s == len(self.next):
                 self.next.append({})
                 self.uses.append({})
                 self.left.append(Counter())
-            s = self.next[s][c]
-        self.left[s][0] += 1
+            return s
+
+        for gram in sorted(grams):
+            (size, i, before, symbol), n = gram, grams[gram][0]
+            s, t = state(i, before), state(i + 1, "".join(_SYMBOL.findall(before + symbol)[-ORDER:]))
+            c = "!" + self.fixed[i] if i < len(self.fixed) and self.fixed[i] else symbol
+            self.left[s][size - i] += n
+            self.uses[s][c] = self.uses[s].get(c, 0) + n
+            self.next[s][c] = t
+            if i + 1 == size:
+                self.left[t][0] += n
+
+    def _top(self, s: int) -> int:
+        """The state that ``s`` has been merged into."""
+        while self.up[s] != s:
+            self.up[s] = self.up[self.up[s]]
+            s = self.up[s]
+        return s
 
     def _alike(self, a: int, b: int) -> bool:
-        todo = [(a, b)]
+        todo, met = [(a, b)], set()
         while todo:
-            p, q = todo.pop()
+            p, q = map(self._top, todo.pop())
+            if p == q or (p, q) in met:
+                continue
+            met.add((p, q))
             n, m = self.left[p].total(), self.left[q].total()
             room = self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
             # What remains is compared as it is: states at other distances from the end are no match, however rare.
@@ -145,7 +194,10 @@ class Automaton:
     def _fold(self, a: int, b: int) -> None:
         todo = [(a, b)]
         while todo:
-            p, q = todo.pop()
+            p, q = map(self._top, todo.pop())
+            if p == q:
+                continue
+            self.up[q] = p
             self.left[p].update(self.left[q])
             for c, n in self.uses[q].items():
                 self.uses[p][c] = self.uses[p].get(c, 0) + n
@@ -160,18 +212,18 @@ class Automaton:
             kept: list[int] = []
             for p in ring:
                 for c in sorted(self.next[p]):
-                    b = self.next[p][c]
+                    b = self._top(self.next[p][c])
                     if b in kept:
                         continue
                     same = next((r for r in kept if self._alike(r, b)), None)
                     if same is None:
                         kept.append(b)
                     else:
-                        self.next[p][c] = same
                         self._fold(same, b)
             ring = kept
 
     def _finish(self) -> None:
+        self.next = [{c: self._top(t) for c, t in step.items()} for step in self.next]
         reach, todo = [0], [0]
         while todo:
             new = sorted(set(self.next[todo.pop()].values()) - set(reach))
@@ -192,7 +244,7 @@ class Automaton:
             steps.append(step)
             ends.append(math.log(left[0] / n) if left[0] else None)
         self.steps, self.ends = steps, ends
-        del self.next, self.uses, self.left
+        del self.next, self.uses, self.left, self.up
         self.shortest = self._shortest()
         beginning = ""
         while len(beginning) < len(self.fixed) and self.fixed[len(beginning)]:
@@ -317,8 +369,8 @@ class Model:
         return out
 
 
-def fit(documents: DataFrame, bound: int = FIT_DOCUMENTS) -> Model:
-    """Automata of the formats seen in at most about ``bound`` documents and of the public ones, and the background."""
+def fit(documents: DataFrame) -> Model:
+    """Automata of the formats seen in ``documents`` and of the public ones, and the background; all rows count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(128 * 128, np.int64)
@@ -326,25 +378,47 @@ def fit(documents: DataFrame, bound: int = FIT_DOCUMENTS) -> Model:
         for b in slices(batches, "text"):
             texts = column(b, "text").to_pylist()
             pairs += pair_counts(texts)
-            got = sorted({(k, t[x:y] if k != "assign" else ASSIGN.match(t, x)[2]) for t in texts if t for k, x, y in base_spans(t)})
+            got = {(k, t[x:y] if k != "assign" else ASSIGN.match(t, x)[2]) for t in texts if t for k, x, y in base_spans(t)}
+            got = sorted(g for g in got if len(g[1]) <= LONGEST)
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got]), pa.array([v for _, v in got]), pa.nulls(len(got), pa.list_(pa.int64()))], names)
         yield pa.RecordBatch.from_arrays([pa.array(["pairs"]), pa.nulls(1, pa.string()), pa.array([pairs], pa.list_(pa.int64()))], names)
 
-    sample = hash_sample(documents.select("doc_id", "text"), "doc_id", bound, "credentials").select("text")
-    found = checkpointed(sample.mapInArrow(run, "kind string, value string, pairs array<long>"))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, Gram], list] = {}
+
+        def passed() -> pa.RecordBatch:
+            cols = zip(*((k, *gram, *seen) for (k, gram), seen in held.items()), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "size", "at", "before", "symbol", "n", "low", "high"])
+
+        for b in batches:
+            kinds, values = column(b, "kind").to_pylist(), column(b, "value").to_pylist()
+            for kind in sorted(set(kinds)):
+                for gram, (n, low, high) in tally(v for k, v in zip(kinds, values, strict=True) if k == kind).items():
+                    seen = held.setdefault((kind, gram), [0, low, high])
+                    seen[:] = seen[0] + n, min(seen[1], low), max(seen[2], high)
+            if len(held) >= COUNTS:
+                yield passed()
+                held.clear()
+        if held:
+            yield passed()
+
+    found = checkpointed(documents.select("text").mapInArrow(run, "kind string, value string, pairs array<long>"))
     # Of fixed size: one number a pair of characters, summed in Spark.
     sums = found.filter("kind = 'pairs'").select(F.posexplode("pairs").alias("at", "n")).filter("n > 0").groupBy("at").agg(F.sum("n").alias("n")).collect()
     pairs = np.zeros(128 * 128)
     for r in sums:
         pairs[r["at"]] = r["n"]
-    # A format is a kind and a length: a bounded number, EXAMPLES values each.
-    usable = found.filter((F.col("kind") != "pairs") & F.length("value").between(1, LONGEST)).select(F.concat("kind", F.length("value")).alias("format"), "value").distinct()
-    formats = sorted(r["format"] for r in usable.groupBy("format").count().filter(F.col("count") >= LEAST).collect())
-    examples = made_examples()
+    # A format is a kind and a length: a bounded number, each with a bounded number of counts.
+    words = found.filter("kind <> 'pairs'").select("kind", "value").distinct()
+    parts = words.mapInArrow(counted, "kind string, size long, at long, before string, symbol string, n long, low string, high string")
+    grams = checkpointed(parts.groupBy("kind", "size", "at", "before", "symbol").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")))
+    formats = grams.filter("at = 0").groupBy("kind", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST).collect()
+    automata = {k: Automaton(v) for k, v in made_examples().items()}
     for k in formats:
-        examples[k] = [r["value"] for r in usable.filter(F.col("format") == k).orderBy(F.xxhash64("value"), "value").limit(EXAMPLES).collect()]
-    return Model({k: Automaton(v) for k, v in sorted(examples.items())}, Background(pairs))
+        rows = grams.filter((F.col("kind") == k["kind"]) & (F.col("size") == k["size"])).collect()
+        automata[f"{k['kind']}{k['size']}"] = Automaton(grams={(r["size"], r["at"], r["before"], r["symbol"]): (r["n"], r["low"], r["high"]) for r in rows})
+    return Model(dict(sorted(automata.items())), Background(pairs))
 
 
 def spans(text: str | None, model: Model) -> tuple[list[Span], list[Span], list[float]]:

@@ -1,5 +1,6 @@
 """Secrets: examples of every format, and keys within longer runs."""
 
+import math
 import random
 import string
 
@@ -39,3 +40,26 @@ def test_keys_within_runs():
     assert secrets.spans("/usr/share/internationalisation-of/some.very.long.path.name=value", model)[1] == []
     two = f"{keys[0]}={keys[1]}"
     assert [s[1:] for s in secrets.spans(two, model)[1]] == [(0, 40), (41, len(two))]
+
+
+def test_all_documents_and_values_count(spark):
+    rng = random.Random(33)
+    values = ["q" + "".join(rng.choices(string.ascii_lowercase, k=29)) for _ in range(1200)]
+    values += ["x" + "".join(rng.choices(string.ascii_uppercase, k=29))]  # one of another form
+    texts = [f"token: {v}" for v in values] + [f"{'ab'[i % 2]}~{i % 7}" for i in range(66_000)]
+    model = secrets.fit(documents(spark, texts).repartition(5))
+    m = model.automata["assign30"]
+    assert m.beginning == "" and m.likelihood(values[-1]) > -math.inf
+    assert m.steps == secrets.Automaton(values).steps
+    assert (model.background.log == secrets.Background(secrets.pair_counts(texts)).log).all()
+
+
+def test_states_that_meet_again_are_counted_once():
+    rng = random.Random(34)
+    values = [rng.choice(["Aa", "0z"]) + "".join(rng.choices("0aA" if i % 3 else "zZ", k=8)) for i in range(3000)]
+    m = secrets.Automaton(values)
+    assert m.states < 9 * 5**secrets.ORDER
+    # All that the automaton leaves at each state adds up to one.
+    for step, end in zip(m.steps, m.ends, strict=True):
+        share = sum(math.exp(p - secrets._SHARE.get(c, 0.0)) for c, (_, p) in step.items()) + (math.exp(end) if end is not None else 0)
+        assert abs(share - 1) < 1e-9
