@@ -87,10 +87,11 @@ def hash_sample(df: DataFrame, key: str, bound: int, salt: str, rows: int | None
     return df.filter(F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(cut)) < F.lit(int(cut * bound / rows)))
 
 
-def labelled(labels: DataFrame, label: str, keep, bound: int) -> DataFrame:
-    """``(doc_id, label)`` of the labelled rows for which ``keep`` holds: one row an id, about ``bound`` rows at most.
+def labelled(labels: DataFrame, label: str, keep, bound: int | None = None) -> DataFrame:
+    """``(doc_id, label)`` of the labelled rows for which ``keep`` holds: one row an id; with ``bound`` about so many rows at most.
 
     Contradictory labels of one id become the larger one; null ids and null labels take no part.
     """
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(keep & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-    return hash_sample(rows, "doc_id", bound, f"fit-{label}").groupBy("doc_id").agg(F.max("label").alias("label"))
+    rows = rows if bound is None else hash_sample(rows, "doc_id", bound, f"fit-{label}")
+    return rows.groupBy("doc_id").agg(F.max("label").alias("label"))

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, column, labelled, slices
 
-#: Bound on the labelled rows used for fitting; all further labelled rows are left out by a hash of their id.
-FIT_ROWS = 20_000
+#: Labelled rows that one task sums at least, beyond TASKS tasks: what a task passes on is as large as the equations.
+TASK_ROWS, TASKS = 65_536, 8
 FEATURES = 256
 FOLDS = 4
 #: Width of the Gaussian kernel over standardised statistics.
@@ -122,7 +122,7 @@ def _statistics_of():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             stats = [statistics(t) for t in column(b, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[column(b, c) for c in ("doc_id", "label", "fold", "h")], pa.array(stats, pa.list_(pa.float64()))], ["doc_id", "label", "fold", "h", "stats"])
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "h"), pa.array(stats, pa.list_(pa.float64()))], ["doc_id", "h", "stats"])
 
     return run
 
@@ -161,14 +161,15 @@ def _summed(rows: DataFrame, size: int, add) -> np.ndarray:
     return out.reshape(FOLDS, size)
 
 
-def fit(documents: DataFrame, labels: DataFrame, keep: Column, bound: int = FIT_ROWS) -> Model:
-    """A model of ``labels.quality`` over at most about ``bound`` labelled rows for which ``keep`` holds."""
-    y = labelled(labels, "quality", keep, bound).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int"))
-    texts = documents.select("doc_id", "text").join(F.broadcast(y), "doc_id").select(F.col("doc_id").cast("long"), "text", "label", "fold", F.xxhash64("text").alias("h"))
-    rows = texts.mapInArrow(_statistics_of(), "doc_id long, label int, fold int, h long, stats array<double>")
-    one = rows.groupBy("doc_id").agg(F.min(F.struct("h", "label", "fold", "stats")).alias("r")).select("r.label", "r.fold", "r.stats")
-    # At most FIT_ROWS rows of 32 numbers: a few tasks hold them, whatever the size of the input.
-    rows = checkpointed(one).coalesce(8)
+def fit(documents: DataFrame, labels: DataFrame, keep: Column) -> Model:
+    """A model of ``labels.quality`` over all labelled rows for which ``keep``, a condition on ``doc_id``, holds."""
+    y = labelled(labels, "quality", keep).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    # Texts stay where they are: statistics are made before labels are joined.
+    texts = documents.select("doc_id", "text").filter(keep & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+    rows = texts.mapInArrow(_statistics_of(), "doc_id long, h long, stats array<double>")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("h", "stats")).alias("r"))
+    rows = checkpointed(one.join(y, "doc_id").select("label", "fold", "r.stats"))
+    rows = rows.coalesce(max(TASKS, rows.count() // TASK_ROWS))
 
     def moments(b):
         s, y = _matrix(b), np.asarray(column(b, "label"))
