@@ -1,6 +1,7 @@
 """The pipeline against plain versions of its stages, and the queries' registration."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ import corpus_pipeline
 from lineloom.llm import quality, secrets
 
 from . import brute
-from .test_ops import junk, prose
+from .test_ops import documents, junk, prose
 
 
 def test_pipeline_against_plain_stages(spark, tmp_path):
@@ -56,3 +57,20 @@ def test_registration():
     assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_shuffles_go_with_their_queries(spark):
+    rng = random.Random(36)
+    texts = [prose(rng, 60) for _ in range(30)]
+    texts += [t + " end" for t in texts]
+    files = spark._jsc.sc().env().blockManager().diskBlockManager()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
+    before = set(files.getAllFiles().mkString("\n").split("\n"))
+    assert corpus_pipeline.unique(spark, documents(spark, texts), "").count() == 30
+    for _ in range(20):
+        left = [f for f in set(files.getAllFiles().mkString("\n").split("\n")) - before if "shuffle_" in f]
+        if not left:
+            break
+        time.sleep(0.5)
+    assert len(left) < 10
