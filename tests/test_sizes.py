@@ -40,3 +40,44 @@ def test_near_repeats_of_long_lines(spark):
     got = lines_of(folds.collapse_near_repeats(numbered(spark, *docs)))
     assert time.time() - began < 60
     assert len(got[0]) == 1 and got[1] == ["one line of words here", "", "one line of words here"]
+
+
+def boxes_of(rng, n, wide=900, high=700):
+    """``(left, right, top, bottom)``, drawn to meet now and then."""
+    out = []
+    for _ in range(n):
+        left, top = float(rng.randrange(wide)), float(rng.randrange(high))
+        out.append((left, left + rng.randint(4, 90), top, top + rng.randint(4, 30)))
+    return out
+
+
+def plain_dedupe(rows, least):
+    kept = []
+    for r in sorted(rows, key=lambda r: (r[4], r[2], r[1])):
+        box = (*r[2:6], r[6])
+        same = next((k for k, q in enumerate(kept) if folds.same_region((*q[2:6], q[6]), box, least)), None)
+        if same is None:
+            kept.append(r)
+        elif r[7] + 0.01 * len(r[6] or "") > kept[same][7] + 0.01 * len(kept[same][6] or ""):
+            kept[same] = r
+    return {(r[0], r[1]) for r in kept}
+
+
+def regions(spark, rows):
+    return spark.createDataFrame([(d, 0, n, *map(float, x)) + (t, float(s)) for d, n, *x, t, s in rows], "doc_id long, page_no int, region_no int, left double, right double, top double, bottom double, text string, score double")
+
+
+def test_regions_of_full_pages(spark):
+    rng = random.Random(5)
+    rows = []
+    for d in range(60):
+        rows += [(d, i, *b, rng.choice(["la", "la la", "Le", "??", None]), rng.random()) for i, b in enumerate(boxes_of(rng, rng.randint(1, 40), 200, 100))]
+    for least in (0.2, 0.55, 0.0):
+        want = set().union(*(plain_dedupe([r for r in rows if r[0] == d], least) for d in range(60)))
+        for most in (512, 8):
+            got = {(r["doc_id"], r["region_no"]) for r in folds.drop_duplicate_regions(regions(spark, rows), least, most).collect()}
+            assert got == want, (least, most)
+    full = [(0, i, *b, "word", 0.5) for i, b in enumerate(boxes_of(rng, 5_000, 9_000, 90_000))] + [(1, i, 0.0, 50.0, 0.0, 20.0, "copy", 0.5) for i in range(5_000)]
+    began = time.time()
+    assert folds.drop_duplicate_regions(regions(spark, full)).filter("doc_id = 1").count() == 1
+    assert time.time() - began < 15
