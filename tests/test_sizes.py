@@ -81,3 +81,17 @@ def test_regions_of_full_pages(spark):
     began = time.time()
     assert folds.drop_duplicate_regions(regions(spark, full)).filter("doc_id = 1").count() == 1
     assert time.time() - began < 15
+
+
+def test_many_lines_of_regions(spark):
+    many = spark.range(120_000).select(
+        F.expr("id div 2").alias("doc_id"), F.lit(0).alias("page_no"), F.lit(0).alias("line_no"), (F.col("id") % 2).cast("int").alias("region_no"),
+        (F.col("id") % 2 * 12.0).alias("left"), (F.col("id") % 2 * 12.0 + 10).alias("right"), F.lit(0.0).alias("top"), F.lit(20.0).alias("bottom"), F.when(F.col("id") % 4 < 2, "la").otherwise("A").alias("text"),
+    )
+    began = time.time()
+    got = {r["text"]: r["count"] for r in folds.merge_regions(many).groupBy("text").count().collect()}
+    assert time.time() - began < 10
+    assert got == {"lala": 30_000, "A": 60_000}
+    row = spark.createDataFrame([(1, 0, 0, i, 12.0 * i, 12.0 * i + 10, 0.0, 20.0, t) for i, t in enumerate(["la ", "le", "Am", "lo", " lu", "Li"])], many.schema)
+    got = [(r["region_no"], r["text"], r["left"], r["right"]) for r in folds.merge_regions(row).orderBy("region_no").collect()]
+    assert got == [(0, "lale", 0.0, 22.0), (1, "Am", 24.0, 34.0), (2, "loluLi", 36.0, 70.0)]
