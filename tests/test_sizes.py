@@ -95,3 +95,30 @@ def test_many_lines_of_regions(spark):
     row = spark.createDataFrame([(1, 0, 0, i, 12.0 * i, 12.0 * i + 10, 0.0, 20.0, t) for i, t in enumerate(["la ", "le", "Am", "lo", " lu", "Li"])], many.schema)
     got = [(r["region_no"], r["text"], r["left"], r["right"]) for r in folds.merge_regions(row).orderBy("region_no").collect()]
     assert got == [(0, "lale", 0.0, 22.0), (1, "Am", 24.0, 34.0), (2, "loluLi", 36.0, 70.0)]
+
+
+def plain_buckets(rows, least=8.0, share=0.62):
+    lines, out = [], {}
+    for n, _, _, top, bottom in sorted(rows, key=lambda r: (r[3], r[1], r[0])):
+        c, h = (top + bottom) / 2, bottom - top
+        near = min(range(len(lines)), key=lambda i: (abs(lines[i][0] - c), i), default=-1)
+        if near >= 0 and abs(lines[near][0] - c) <= max(least, share * max(h, lines[near][1])):
+            x, y, k = lines[near]
+            lines[near] = [(x * k + c) / (k + 1), (y * k + h) / (k + 1), k + 1]
+        else:
+            near = len(lines)
+            lines.append([c, h, 1])
+        out[n] = near
+    return out
+
+
+def test_lines_of_long_pages(spark):
+    rng = random.Random(7)
+    pages = [[(i, *b) for i, b in enumerate(boxes_of(rng, rng.randint(1, 60), 50, high))] for high in (30, 90, 400, 900) for _ in range(15)]
+    rows = [(d, i, *b, "", 0) for d, page in enumerate(pages) for i, *b in page]
+    got = {(r["doc_id"], r["region_no"]): r["line_no"] for r in folds.bucket_regions(regions(spark, rows)).collect()}
+    assert got == {(d, n): k for d, page in enumerate(pages) for n, k in plain_buckets(page).items()}
+    long = [(0, i, 0.0, 9.0, 20.0 * i, 20.0 * i + 10, "", 0) for i in range(16_000)]
+    began = time.time()
+    assert folds.bucket_regions(regions(spark, long)).agg(F.max("line_no")).first()[0] == 15_999
+    assert time.time() - began < 10
