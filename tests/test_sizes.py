@@ -122,3 +122,12 @@ def test_lines_of_long_pages(spark):
     began = time.time()
     assert folds.bucket_regions(regions(spark, long)).agg(F.max("line_no")).first()[0] == 15_999
     assert time.time() - began < 10
+
+
+def test_lines_of_many_pages(spark):
+    words = spark.range(200_000).select(F.expr("id div 4").alias("doc_id"), F.lit(1).alias("page_no"), (F.col("id") % 4).cast("int").alias("word_no"), F.lit(0.0).alias("left"), F.expr("array(10.0D, 11.5D, 13.0D, 30.0D)[cast(id % 4 as int)]").alias("bottom"))
+    began = time.time()
+    got = {(r["word_no"], r["line_no"]): r["count"] for r in folds.cluster_lines(words).groupBy("word_no", "line_no").count().collect()}
+    assert time.time() - began < 10
+    # From the top: 30 alone, then 13 and 11.5; 10 is 2.25 from their mean.
+    assert got == {(3, 0): 50_000, (2, 1): 50_000, (1, 1): 50_000, (0, 2): 50_000}
