@@ -5,7 +5,9 @@ import time
 
 from pyspark.sql import functions as F
 
+from lineloom.functions import chords as C
 from lineloom.operators import folds
+from lineloom.plans import catalogue
 
 
 def numbered(spark, *docs):
@@ -131,3 +133,12 @@ def test_lines_of_many_pages(spark):
     assert time.time() - began < 10
     # From the top: 30 alone, then 13 and 11.5; 10 is 2.25 from their mean.
     assert got == {(3, 0): 50_000, (2, 1): 50_000, (1, 1): 50_000, (0, 2): 50_000}
+
+
+def test_even_placement_as_sql(spark, tmp_path):
+    texts = ["", None, "a b c", "a\x0bb c", "one two", " \tx"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(d, n, 0, 0) for d in range(6) for n in (1, 2)] + [(4, None, 5, 1), (4, 2, None, 0), (4, 2, 1, 0)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["doc_id"]: r["line"] for r in catalogue.even_placement(spark, str(tmp_path)).collect()}
+    assert got == {0: None, 1: None, 2: "[C]a b [C]c", 3: "[C]a\x0bb [C]c", 4: "[C][C][Am]one [H7]two", 5: "[C][C]x"}
