@@ -261,13 +261,17 @@ def positions(line: Column, tab: int = 12) -> Column:
 def insert_at(lyric: Column, placed: Column) -> Column:
     """``lyric`` with each chord of ``placed`` before its character; chords of one position in order given."""
     n = F.length(lyric)
-    chars = F.concat(F.split(lyric, ""), F.array(F.lit("")))
-    chars = F.slice(chars, F.lit(1), n + 1)
+    spots = F.array_sort(F.transform(placed, lambda p, i: F.struct(F.least(F.greatest(p["pos"], F.lit(0)), n).alias("pos"), i.alias("i"), p["chord"].alias("chord"))))
 
-    def before(i: Column) -> Column:
-        return F.array_join(F.transform(F.filter(placed, lambda p: F.least(F.greatest(p["pos"], F.lit(0)), n) == i), lambda p: F.concat(F.lit("["), p["chord"], F.lit("]"))), "")
+    def put(found: Column) -> Column:
+        def piece(p: Column, i: Column) -> Column:
+            end = F.coalesce(at(found, i + 2)["pos"], n)
+            return F.concat(F.coalesce(F.concat(F.lit("["), p["chord"], F.lit("]")), F.lit("")), F.substring(lyric, p["pos"] + 1, end - p["pos"]))
 
-    return F.when(n == 0, F.array_join(F.transform(placed, lambda p: F.concat(F.lit("["), p["chord"], F.lit("]"))), "")).otherwise(F.array_join(F.transform(chars, lambda ch, i: F.concat(before(i), ch)), ""))
+        return F.concat(F.substring(lyric, F.lit(1), F.coalesce(at(found, 1)["pos"], n)), F.array_join(F.transform(found, piece), ""))
+
+    # Put through an array of one, so that the places are found once and not for each use.
+    return at(F.transform(F.array(spots), put), 1)
 
 
 def place_by_column(chord_line: Column, lyric: Column, tab: int = 12) -> Column:

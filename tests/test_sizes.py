@@ -142,3 +142,13 @@ def test_even_placement_as_sql(spark, tmp_path):
     spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     got = {r["doc_id"]: r["line"] for r in catalogue.even_placement(spark, str(tmp_path)).collect()}
     assert got == {0: None, 1: None, 2: "[C]a b [C]c", 3: "[C]a\x0bb [C]c", 4: "[C][C][Am]one [H7]two", 5: "[C][C]x"}
+
+
+def test_many_chords_on_a_long_line(spark):
+    df = spark.createDataFrame([("la " * 6_000, "\t".join(["C"] * 3_000))], "lyric string, chords string")
+    began = time.time()
+    got = df.select(C.insert_at(F.col("lyric"), C.positions(F.col("chords"))).alias("x")).first()["x"]
+    assert time.time() - began < 20
+    assert got.count("[C]") == 3_000 and got.replace("[C]", "") == "la " * 6_000 and got.startswith("[C]la la la la [C]la")
+    df = spark.createDataFrame([("ab", [(-1, "x"), (1, "y"), (0, "z"), (9, "w"), (1, "v"), (2, None)]), ("", [(3, "x"), (0, "y")])], f"lyric string, placed {C.ANCHOR}")
+    assert [r[0] for r in df.select(C.insert_at(F.col("lyric"), F.col("placed"))).collect()] == ["[x][z]a[y][v]b[w]", "[x][y]"]
