@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from lineloom.functions import chords as C
-from lineloom.operators import folds
+from lineloom.operators import folds, matching
 from lineloom.plans import catalogue
 
 
@@ -152,3 +152,28 @@ def test_many_chords_on_a_long_line(spark):
     assert got.count("[C]") == 3_000 and got.replace("[C]", "") == "la " * 6_000 and got.startswith("[C]la la la la [C]la")
     df = spark.createDataFrame([("ab", [(-1, "x"), (1, "y"), (0, "z"), (9, "w"), (1, "v"), (2, None)]), ("", [(3, "x"), (0, "y")])], f"lyric string, placed {C.ANCHOR}")
     assert [r[0] for r in df.select(C.insert_at(F.col("lyric"), F.col("placed"))).collect()] == ["[x][z]a[y][v]b[w]", "[x][y]"]
+
+
+def test_companions_of_many_copies(spark):
+    rng = random.Random(9)
+    rows = [(i % 50 if i % 9 == 0 else i, rng.choice(["red ring", "red rings", "red ring 7", "bolt", "old bolts", "", None, "!!"]), f"b{i % 3}") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, name string, block string")
+
+    def key(name):
+        return "".join(c for c in (name or "") if c.isalpha())
+
+    def score(a, b):
+        return (1.0 if a == b else 0.0 if not a or not b else 1 - plain_distance(a, b) / max(len(a), len(b))) + (0.15 if a and b and (a in b or b in a) else 0.0)
+
+    want = {}
+    for i, a, x in rows:
+        for j, b, y in rows:
+            if x == y and i != j and score(key(a), key(b)) > 0.72:
+                want[i] = max(want.get(i, (0, 0)), (score(key(a), key(b)), -j))
+    got = {r["id"]: (r["score"], -r["other"]) for r in matching.companions(df, df, "block").collect()}
+    assert got == want
+    # A block of 40,000 rows and one name has as many answers, not their square of pairs.
+    many = spark.range(40_000).select("id", F.lit("one name").alias("name"), F.lit("b").alias("block"))
+    began = time.time()
+    assert matching.companions(many, many, "block").groupBy("other").count().orderBy("other").collect() == [(0, 39_999), (1, 1)]
+    assert time.time() - began < 20
