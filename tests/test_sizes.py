@@ -177,3 +177,35 @@ def test_companions_of_many_copies(spark):
     began = time.time()
     assert matching.companions(many, many, "block").groupBy("other").count().orderBy("other").collect() == [(0, 39_999), (1, 1)]
     assert time.time() - began < 20
+
+
+def alike_plainly(a, b):
+    return 1.0 if a == b else 0.0 if not a or not b else 0.9 if a in b or b in a else 1.0 - plain_distance(a, b) / max(len(a), len(b))
+
+
+def test_best_lines_of_all_documents_of_a_block(spark):
+    rng = random.Random(11)
+    rows = []
+    for d in range(14):
+        rows += [(d, i, "".join(rng.choice("abcde"[: rng.randint(1, 5)]) for _ in range(rng.choice([0, 1, 3, 9, 30, 70])))) for i in range(rng.randint(1, 14))]
+    lines = spark.createDataFrame(rows, "doc_id int, line_no int, line string")
+    # Blocks of two, of three and of five documents; with all of them no donor is left out.
+    for size in (2, 3, 5):
+        df = lines.withColumn("block", F.floor(F.col("doc_id") / size))
+        want = {}
+        for d, i, a in rows:
+            best = max(((alike_plainly(a, b), -e, -j) for e, j, b in rows if e // size == d // size and e != d), default=(0,))
+            if best[0] >= 0.32:
+                want[d, i] = (-best[2], best[0])
+        for donors in (df, df.select("*")):
+            got = {(r["doc_id"], r["line_no"]): (r["donor_no"], r["similarity"]) for r in matching.best_lines(df, donors, "block").collect()}
+            assert got == want, size
+
+
+def test_best_lines_of_long_documents(spark):
+    rng = random.Random(13)
+    rows = [(d, i, "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(100, 300))), 0) for d in range(2) for i in range(250)]
+    df = spark.createDataFrame(rows, "doc_id int, line_no int, line string, block int")
+    began = time.time()
+    assert matching.best_lines(df, df, "block", 0.05).count() == 500
+    assert time.time() - began < 15
