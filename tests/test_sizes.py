@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from lineloom.functions import chords as C
+from lineloom.functions import text as T
 from lineloom.operators import folds, matching
 from lineloom.plans import catalogue
 
@@ -209,3 +210,14 @@ def test_best_lines_of_long_documents(spark):
     began = time.time()
     assert matching.best_lines(df, df, "block", 0.05).count() == 500
     assert time.time() - began < 15
+
+
+def test_counts_as_patterns_have_them(spark):
+    rng = random.Random(17)
+    marks = "aÄß Z9٣-_[](){}\t\n\x0b\x85\xa0  　​\U0001f600\U00010400.,'é"
+    lines = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 30))) for _ in range(400)] + ["", " \n ", None]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    c, x = F.col("line"), F.coalesce("line", F.lit(""))
+    pairs = [(T.letters(c), r"\p{L}"), (T.digits(c), r"\p{Nd}"), (T.uppers(c), r"\p{Lu}"), (T.symbols(c), r"[^\p{L}\p{Nd}\s]"), (T.symbols(c, r"\[\]"), r"[^\p{L}\p{Nd}\s\[\]]")]
+    same = [a == F.regexp_count(x, F.lit(p)) for a, p in pairs] + [T.stripped(c) == F.regexp_replace(x, r"(?U)^\s+|\s+$", "")]
+    assert all(all(r) for r in df.select(*same).collect())
