@@ -31,6 +31,8 @@ MISREAD = [
 ]
 #: Tokens of a row of chord names without brackets.  Fixed value.
 BARE = r"^(?:[A-H][#b]?(?:m|M|maj|min|dim|aug|sus\d?|add\d?)?[0-9]?|[#b♯♭]|m|[0-9])$"
+#: Tokens of which cleaning leaves anything, and those of which it may leave a chord: the first letter stays the first.
+SOME, MAYBE = "[A-Za-z0-9#/]", "^[^A-Za-z0-9#/]*[A-Ha-h]"
 ANCHOR = "array<struct<pos:int,chord:string>>"
 
 
@@ -50,11 +52,12 @@ def is_valid_bracket(c: Column) -> Column:
 
 def clean(token: Column) -> Column:
     """A chord token with the usual misreadings repaired; a lone small letter is a minor chord."""
-    out = F.regexp_replace(text.stripped(token), "[^A-Za-z0-9#b/]+", "")
-    out = text.apply_rules(out, MISREAD)
-    minor = F.concat(F.upper(out), F.lit("m"))
-    raised = F.regexp_replace(F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, 2, 1 << 20)), "^([A-H])[hH]", "$1")
-    return F.when(out.rlike("^[a-h]$"), minor).when(out.rlike("^[A-H]$"), out).otherwise(raised)
+    def named(out: Column) -> Column:
+        minor = F.concat(F.upper(out), F.lit("m"))
+        raised = F.regexp_replace(F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, 2, 1 << 20)), "^([A-H])[hH]", "$1")
+        return F.when(out.rlike("^[a-h]$"), minor).when(out.rlike("^[A-H]$"), out).otherwise(raised)
+
+    return text.once(text.apply_rules(F.regexp_replace(text.stripped(token), "[^A-Za-z0-9#b/]+", ""), MISREAD), named)
 
 
 def light_clean(token: Column) -> Column:
@@ -92,25 +95,31 @@ def is_modifier_token(token: Column) -> Column:
 
 def chord_tokens(line: Column, variant: str = "sus") -> Column:
     """The chords among a line's tokens, repaired."""
-    return F.filter(F.transform(text.tokens(line), clean), lambda t: is_chord(t, variant))
+    return F.filter(F.transform(F.filter(text.tokens(line), lambda t: t.rlike(MAYBE)), clean), lambda t: is_chord(t, variant))
 
 
 def cleaned_tokens(line: Column) -> Column:
-    return F.filter(F.transform(text.tokens(line), clean), lambda t: t != "")
+    return F.transform(F.filter(text.tokens(line), lambda t: t.rlike(SOME)), clean)
 
 
 def is_chord_only(line: Column, variant: str = "sus") -> Column:
     """At least one token, and every one a chord."""
-    t = cleaned_tokens(line)
-    return (F.size(t) > 0) & F.forall(t, lambda x: is_chord(x, variant))
+    t = F.filter(text.tokens(line), lambda x: x.rlike(SOME))
+    return text.once(t, lambda t: (F.size(t) > 0) & F.forall(t, lambda x: x.rlike(MAYBE) & is_chord(clean(x), variant)))
 
 
 def is_mostly_chords(line: Column, least: int = 2, share: float = 0.6) -> Column:
     """Tolerant form: split tokens are merged first; six or more chords that are nearly all single letters do not count."""
-    t = F.filter(F.transform(merge_split(text.tokens(line)), clean), lambda t: t != "")
-    n, m = F.size(F.filter(t, lambda x: is_chord(x))), F.size(t)
-    single = F.size(F.filter(t, lambda x: is_chord(x) & (F.length(x) == 1)))
-    return (n >= least) & (n >= m * share) & ~((n >= 6) & (single >= n * 0.85))
+    t = F.filter(merge_split(text.tokens(line)), lambda x: x.rlike(SOME))
+
+    def mostly(t: Column, found: Column) -> Column:
+        n, m, single = F.size(found), F.size(t), F.size(F.filter(found, lambda x: F.length(x) == 1))
+        return (n >= least) & (n >= m * share) & ~((n >= 6) & (single >= n * 0.85))
+
+    def chords(t: Column) -> Column:
+        return F.filter(F.transform(F.filter(t, lambda x: x.rlike(MAYBE)), clean), lambda x: is_chord(x))
+
+    return text.once(t, lambda t: text.once(chords(t), lambda found: mostly(t, found)))
 
 
 def is_dominant(line: Column, share: float = 0.7) -> Column:

@@ -221,3 +221,15 @@ def test_counts_as_patterns_have_them(spark):
     pairs = [(T.letters(c), r"\p{L}"), (T.digits(c), r"\p{Nd}"), (T.uppers(c), r"\p{Lu}"), (T.symbols(c), r"[^\p{L}\p{Nd}\s]"), (T.symbols(c, r"\[\]"), r"[^\p{L}\p{Nd}\s\[\]]")]
     same = [a == F.regexp_count(x, F.lit(p)) for a, p in pairs] + [T.stripped(c) == F.regexp_replace(x, r"(?U)^\s+|\s+$", "")]
     assert all(all(r) for r in df.select(*same).collect())
+
+
+def test_chord_lines_among_prose(spark):
+    prose = spark.range(60_000).select(F.concat(F.lit("it was a line of prose with some words in it, number "), F.col("id").cast("string"), F.lit(" and a few more words than that")).alias("line")).cache()
+    prose.count()
+    began = time.time()
+    assert prose.filter(C.is_chord_only(F.col("line"))).count() == 0
+    assert prose.filter(F.size(C.chord_tokens(F.col("line"))) > 1).count() == 60_000
+    assert time.time() - began < 10
+    cases = {"C  Am": True, "(C) [Am]": True, "C ---": True, "---": False, "": False, "C word": False, "h e": True, "Bim A/Bb": True, "#C": False, "9 C": False}
+    rows = spark.createDataFrame([(k,) for k in cases], "line string")
+    assert {r[0]: r[1] for r in rows.select("line", C.is_chord_only(F.col("line"))).collect()} == cases
