@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import chords
-from .text import count, digits, is_blank, letters, stripped, symbols, tokens, uppers
+from .text import count, digits, is_blank, letters, once, stripped, symbols, tokens, uppers
 
 #: Marks that recognition leaves behind.  Fixed values.
 GARBAGE = r"[=~|&%$#@!;?\\\"'`<>(){}]"
@@ -46,20 +46,23 @@ def is_staff_noise(line: Column, light: bool = False) -> Column:
     if light:
         n = count(s, r"[_|=~^]")
         return (n >= 6) | ((n >= 3) & (letters(s) <= 3))
+    return once(F.struct(s.alias("s"), letters(s).alias("n"), digits(s).alias("d"), symbols(s).alias("y")), lambda v: _staff_noise(v["s"], v["n"], v["d"], v["y"]))
+
+
+def _staff_noise(s: Column, n: Column, d: Column, y: Column) -> Column:
+    """Of a line with its numbers of letters, digits and symbols."""
     length = F.length(s)
-    return (
-        is_blank(s)
-        | s.rlike(r"===|___|%%|\|\||[=_]{2,}|-{4,}")
-        | ((share(symbols(s), length) > 0.22) & (share(letters(s), length) < 0.40))
-        | ((symbols(s) + digits(s) >= 10) & (letters(s) <= 6))
-    )
+    return is_blank(s) | s.rlike(r"===|___|%%|\|\||[=_]{2,}|-{4,}") | ((share(y, length) > 0.22) & (share(n, length) < 0.40)) | ((y + d >= 10) & (n <= 6))
 
 
 def is_short_tokens(line: Column, long_word: bool = True) -> Column:
     """Six tokens or more, four in five of two characters at most; ``long_word``: none of four or more, and few letters."""
-    t = tokens(line)
+    return once(tokens(line), lambda t: _short_tokens(t, letters(line), long_word))
+
+
+def _short_tokens(t: Column, n: Column, long_word: bool = True) -> Column:
     out = (F.size(t) >= 6) & (F.size(F.filter(t, lambda x: F.length(x) <= 2)) >= F.size(t) * 0.8)
-    return out & ~F.exists(t, lambda x: F.length(x) >= 4) & (letters(line) <= 12) if long_word else out
+    return out & ~F.exists(t, lambda x: F.length(x) >= 4) & (n <= 12) if long_word else out
 
 
 def is_lyric(line: Column, least: int = 8) -> Column:
@@ -72,9 +75,12 @@ def is_verse_number(line: Column, misread: bool = True) -> Column:
 
 def is_lyric_start(line: Column, least: int = 12) -> Column:
     """A numbered line of six letters, or a lyric line without digits of ``least`` letters; credits and fragments never are."""
-    s = stripped(line)
-    starts = F.when(s.rlike(r"^\d+\s*[.)]"), letters(s) >= 6).otherwise((digits(s) == 0) & is_lyric(s) & (letters(s) >= least))
-    return (s != "") & ~is_footer_credit(s) & ~is_fragmented(s) & starts
+
+    def start(s: Column) -> Column:
+        starts = F.when(s.rlike(r"^\d+\s*[.)]"), letters(s) >= 6).otherwise((digits(s) == 0) & is_lyric(s) & (letters(s) >= least))
+        return (s != "") & starts & ~is_footer_credit(s) & ~is_fragmented(s)
+
+    return once(stripped(line), start)
 
 
 def is_processed_lyric(line: Column) -> Column:
@@ -88,22 +94,27 @@ def is_body_garbage(line: Column) -> Column:
 
 def is_note_noise(line: Column) -> Column:
     """Noise of notation; the first rule that fits decides, lyrics and chords are exempt from the last."""
-    s = stripped(line)
-    n, d, t = letters(s), digits(s), tokens(s)
-    noise = count(s, r"[_|=~^\[\]{}\\/*\u201c\u201d\u2019\u2018]")
-    ratio = share(n, F.length(s))
-    single = F.size(F.filter(t, lambda x: F.length(x) == 1))
-    found = F.size(F.filter(t, lambda x: chords.is_chord(chords.clean(x))))
-    return (
-        F.when(s == "", True)
-        .when((n <= 2) & (noise >= 4), True)
-        .when((ratio < 0.20) & (noise >= 6), True)
-        .when(is_staff_noise(s) | is_short_tokens(s), True)
-        .when((F.size(t) >= 6) & (single >= F.size(t) * 0.7) & (n <= 4), True)
-        .when((n >= 8) & (ratio > 0.35), False)
-        .when(found >= 2, False)
-        .otherwise((F.length(s) < 20) & ((noise >= 3) | (d >= 4)) & (n <= 3))
-    )
+
+    def noisy(s: Column, n: Column, d: Column, y: Column, t: Column) -> Column:
+        noise = count(s, r"[_|=~^\[\]{}\\/*\u201c\u201d\u2019\u2018]")
+        ratio = share(n, F.length(s))
+        single = F.size(F.filter(t, lambda x: F.length(x) == 1))
+        found = F.size(F.filter(t, lambda x: x.rlike(chords.MAYBE) & chords.is_chord(chords.clean(x))))
+        return (
+            F.when(s == "", True)
+            .when((n <= 2) & (noise >= 4), True)
+            .when((ratio < 0.20) & (noise >= 6), True)
+            .when(_staff_noise(s, n, d, y) | _short_tokens(t, n), True)
+            .when((F.size(t) >= 6) & (single >= F.size(t) * 0.7) & (n <= 4), True)
+            .when((n >= 8) & (ratio > 0.35), False)
+            .when(found >= 2, False)
+            .otherwise((F.length(s) < 20) & ((noise >= 3) | (d >= 4)) & (n <= 3))
+        )
+
+    def counted(s: Column) -> Column:
+        return F.struct(s.alias("s"), letters(s).alias("n"), digits(s).alias("d"), symbols(s).alias("y"), tokens(s).alias("t"))
+
+    return once(stripped(line), lambda s: once(counted(s), lambda v: noisy(v["s"], v["n"], v["d"], v["y"], v["t"])))
 
 
 def is_chord_noise(line: Column, light: bool = False) -> Column:
@@ -117,12 +128,15 @@ def is_chord_noise(line: Column, light: bool = False) -> Column:
 
 def is_fragmented(line: Column) -> Column:
     """Many tiny tokens with digits or single letters among them."""
-    t = tokens(line)
-    n, short = F.size(t), F.size(F.filter(t, lambda x: F.length(x) <= 2))
-    digit = F.size(F.filter(t, lambda x: x.rlike(r"\p{Nd}")))
-    lone = F.size(F.filter(t, lambda x: x.rlike(r"^\p{L}$")))
-    marks = F.size(F.filter(t, lambda x: ~x.rlike(r"\p{L}")))
-    return ((n >= 4) & (short >= n * 0.6) & ((digit >= 1) | (lone >= 2))) | ((digit >= 2) & (short >= 2)) | ((marks >= 2) & (short >= 3))
+
+    def fragmented(t: Column) -> Column:
+        n, short = F.size(t), F.size(F.filter(t, lambda x: F.length(x) <= 2))
+        digit = F.size(F.filter(t, lambda x: x.rlike(r"\p{Nd}")))
+        lone = F.size(F.filter(t, lambda x: x.rlike(r"^\p{L}$")))
+        marks = F.size(F.filter(t, lambda x: ~x.rlike(r"\p{L}")))
+        return ((n >= 4) & (short >= n * 0.6) & ((digit >= 1) | (lone >= 2))) | ((short >= 2) & (digit >= 2)) | ((short >= 3) & (marks >= 2))
+
+    return once(tokens(line), fragmented)
 
 
 def is_footer_credit(line: Column, names: tuple[str, ...] = ()) -> Column:
@@ -214,7 +228,7 @@ def is_region_noise(value: Column, score: Column, width: Column, height: Column,
 
 def is_title_candidate(line: Column, name: Column) -> Column:
     s = stripped(line)
-    fits = F.length(s).between(3, 80) & (digits(s) == 0) & ~s.rlike(r"[\[\]]") & ~is_section_label(s) & ~chords.is_mostly_chords(s) & (letters(s) >= 6) & (uppers(s) >= 1)
+    fits = F.length(s).between(3, 80) & (digits(s) == 0) & ~s.rlike(r"[\[\]]") & ~is_section_label(s) & (letters(s) >= 6) & (uppers(s) >= 1) & ~chords.is_mostly_chords(s)
     return fits | (F.lower(s) == F.lower(name))
 
 
