@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lines as L
 from ..functions import sections as S
-from ..functions.text import count, digits, letters, stripped, symbols
+from ..functions.text import count, digits, letters, once, stripped, symbols
 from .sequence import explode_lines
 
 #: Characters that no song text holds, those of staves, and runs that only rubbish has.  Fixed values.
@@ -114,10 +114,11 @@ def notation_ratios(documents: DataFrame, lines: int = 80, tokens: int = 600) ->
     bare = F.transform(parts, lambda t: F.regexp_replace(t, "^[\\[\\](){},.;:\"'`]+|[\\[\\](){},.;:\"'`]+$", ""))
 
     def junk(t: Column) -> Column:
-        marks = F.length(t) - letters(t) - digits(t)
-        return (t == "") | t.rlike("[=_¥]") | ((letters(t) == 0) & (digits(t) == 0)) | ((marks >= 2) & (marks >= F.floor(F.length(t) / 2))) | ((F.length(t) <= 2) & ~F.lower(t).isin(*L.SHORT_WORDS))
+        # What takes no pattern comes first, and marks are all that is neither letter nor digit.
+        marked = once(F.length(F.regexp_replace(t, r"[\p{L}\p{Nd}]+", "")), lambda n: (n >= 2) & (n >= F.floor(F.length(t) / 2)))
+        return (t == "") | ((F.length(t) <= 2) & ~F.lower(t).isin(*L.SHORT_WORDS)) | ~t.rlike(r"[\p{L}\p{Nd}]") | t.rlike("[=_¥]") | marked
 
-    junk_share = F.size(F.filter(bare, junk)) / F.greatest(F.size(bare), F.lit(1))
+    junk_share = once(bare, lambda b: F.size(F.filter(b, junk)) / F.greatest(F.size(b), F.lit(1)))
     runs = s.rlike(RUNS)
     out = sample.select("doc_id", (n / total).alias("letter_ratio"), (weird / total).alias("weird_ratio"), (score / total).alias("score_ratio"), junk_share.alias("junk_ratio"), runs.alias("runs"))
     a, b, c, d = (F.col(x) for x in ("letter_ratio", "weird_ratio", "score_ratio", "junk_ratio"))
